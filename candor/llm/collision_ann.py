@@ -5,9 +5,9 @@ vectors keeps, for every function, the projections in sorted order. A query
 opens on each line a window centred at its own projection and widens all of
 them together, radius by radius (virtual rehashing: the arrays never change);
 only what a widening adds is counted. A vector that has collided with the query
-on ``threshold`` of the lines is verified by its exact distance. A block is
-done when its ``k``-th verified distance is within the radius that the windows
-stand for, and enough vectors were verified.
+on ``threshold`` of the lines is verified by its exact distance. A query is done
+with a block when the share ``enough`` of the block's vectors (20 k at least) has
+been verified, which is what recall depends on.
 
 Every vector is in exactly one block, whose size is bounded; queries meet the
 blocks in groups, and the best of all blocks are merged by distance.
@@ -55,43 +55,40 @@ class SortedLines:
         self.lines = np.take_along_axis(lines.T, self.order, axis=1)
         self.unit = max(float(lines.std()), 1e-12)
 
-    def search(self, query: np.ndarray, own: int, k: int, threshold: float, growth: float, first: float, enough: float) -> list[tuple[float, int]]:
-        """The nearest that are found: (distance, id), best first."""
-        n, m = len(self.ids), len(self.lines)
-        need, least = int(np.ceil(threshold * m)), max(4 * k, int(enough * n))
-        at = query.astype(np.float32) @ self.axes
-        hits = np.zeros(n, dtype=np.int32)
-        low = np.array([np.searchsorted(self.lines[j], at[j]) for j in range(m)])
-        high = low.copy()
-        checked = np.zeros(n, dtype=bool)
-        distance = np.full(n, np.inf)
-        width = first * self.unit
-        while True:
-            wide_low = np.array([np.searchsorted(self.lines[j], at[j] - width) for j in range(m)])
-            wide_high = np.array([np.searchsorted(self.lines[j], at[j] + width, side="right") for j in range(m)])
-            new = np.concatenate([x for j in range(m) for x in (self.order[j, wide_low[j] : low[j]], self.order[j, high[j] : wide_high[j]])])
-            hits += np.bincount(new, minlength=n).astype(np.int32)
-            low, high = np.minimum(low, wide_low), np.maximum(high, wide_high)
-            ready = np.flatnonzero((hits >= need) & ~checked)
-            if len(ready):
-                checked[ready] = True
-                distance[ready] = np.sqrt(((self.vectors[ready] - query) ** 2).sum(1))
-                distance[ready[self.ids[ready] == own]] = np.inf
-            done = int(checked.sum())
-            if done == n:
-                break
-            # A vector at distance d projects within d * N(0, 1): past this the k best are inside the windows.
-            if done >= least and np.partition(distance, k)[k - 1 : k].max(initial=0) <= width * 1.5:
-                break
-            if done >= 5 * least:
-                break
-            width *= growth
-        some = np.flatnonzero(np.isfinite(distance))
-        best = some[np.lexsort((self.ids[some], distance[some]))][:k]
-        return list(zip(distance[best].tolist(), self.ids[best].tolist(), strict=True))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, functions: int = 24, threshold: float = 0.5, growth: float = 1.3, first: float = 0.3, enough: float = 0.04, seed: int = 11, block: int = BLOCK) -> DataFrame:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, threshold: float, growth: float, first: float, enough: float) -> list[list[tuple[float, int]]]:
+        """For each query the nearest that are found: (distance, id), best first."""
+        n, (q, m) = len(self.ids), (len(queries), len(self.lines))
+        need, least = int(np.ceil(threshold * m)), max(20 * k, int(enough * n))
+        at = queries.astype(np.float32) @ self.axes
+        hits, checked, distance = np.zeros((q, n), dtype=np.int32), np.zeros((q, n), dtype=bool), np.full((q, n), np.inf)
+        low = np.stack([np.searchsorted(self.lines[j], at[:, j]) for j in range(m)], 1)
+        high, active, width = low.copy(), np.arange(q), first * self.unit
+        while len(active):
+            wide_low = np.stack([np.searchsorted(self.lines[j], at[active, j] - width) for j in range(m)], 1)
+            wide_high = np.stack([np.searchsorted(self.lines[j], at[active, j] + width, side="right") for j in range(m)], 1)
+            going = []
+            for i, a, b, c, d in zip(active.tolist(), wide_low.tolist(), low[active].tolist(), high[active].tolist(), wide_high.tolist(), strict=True):
+                new = np.concatenate([x for j in range(m) for x in (self.order[j, a[j] : b[j]], self.order[j, c[j] : d[j]])])
+                hits[i] += np.bincount(new, minlength=n).astype(np.int32)
+                ready = np.flatnonzero((hits[i] >= need) & ~checked[i])
+                checked[i, ready] = True
+                far = np.sqrt(((self.vectors[ready] - queries[i]) ** 2).sum(1))
+                far[self.ids[ready] == own[i]] = np.inf
+                distance[i, ready] = far
+                done = int(checked[i].sum())
+                if done < n and done < least:
+                    going.append(i)
+            low[active], high[active] = np.minimum(low[active], wide_low), np.maximum(high[active], wide_high)
+            active, width = np.array(going, dtype=np.int64), width * growth
+        out = []
+        for i in range(q):
+            some = np.flatnonzero(np.isfinite(distance[i]))
+            best = some[np.lexsort((self.ids[some], distance[i, some]))][:k]
+            out.append(list(zip(distance[i, best].tolist(), self.ids[best].tolist(), strict=True)))
+        return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, functions: int = 96, threshold: float = 0.75, growth: float = 1.1, first: float = 0.9, enough: float = 0.15, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found. Both tables have vec_id and embedding."""
     vectors, queries = usable(vectors), usable(queries).distinct()
     common = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -110,8 +107,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, functions: int
         order = order[np.argsort(ids[order], kind="stable")]
         if len(order) and is_query.any():
             lines = SortedLines(matrix[order], ids[order], functions, seed)
-            for i in np.flatnonzero(is_query).tolist():
-                rows += [(int(ids[i]), x, d) for d, x in lines.search(matrix[i], int(ids[i]), k, threshold, growth, first, enough)]
+            asked = np.flatnonzero(is_query)
+            for at in range(0, len(asked), 64):
+                some = asked[at : at + 64]
+                for i, found in zip(some.tolist(), lines.search(matrix[some], ids[some], k, threshold, growth, first, enough), strict=True):
+                    rows += [(int(ids[i]), x, d) for d, x in found]
         return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
 
     found = v.unionByName(q).groupBy("block", "part").applyInArrow(search, FOUND)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import attribution, bpe, collision_ann, decontaminate, langid, packing, simhash, toxicity, urlfilter
+from candor.llm import attribution, bpe, collision_ann, decontaminate, langid, mixing, packing, simhash, toxicity, urlfilter
 from candor.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_decontamination, op4_token_counts, op5_language_id, op6_bpe, op7_simhash, op8_url_filters, op9_collision_ann, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_packing, op2_context_mixing, op3_decontamination, op4_token_counts, op5_language_id, op6_bpe, op7_simhash, op8_url_filters, op9_collision_ann, op10_toxicity, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_url_filters": urlfilter.ORACLE}
