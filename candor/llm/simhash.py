@@ -122,7 +122,7 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
     return edges
 
 
-def links(prints: DataFrame, radius: int = 2, name: str = "simhash", tile: int = 2048) -> DataFrame:
+def links(prints: DataFrame, radius: int = 2, name: str = "simhash", tile: int = 512) -> DataFrame:
     """(a, b): spanning edges, tile by tile, of the graph that joins different fingerprints within ``radius`` bits."""
     distinct = prints.select(F.col(name).alias("p")).distinct()
     distinct = spool(distinct, "fingerprints")
