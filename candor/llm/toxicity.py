@@ -228,14 +228,15 @@ def score_texts(model: SubwordModel, scores: WordScores, texts: list[str]) -> np
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, held_out: int = 0) -> DataFrame:
-    """(text, toxic) of about ``per_class`` rows of each class outside the held-out fold, by lowest hash."""
+    """(doc_id, text, toxic) of about ``per_class`` rows of each class outside the held-out fold, by lowest hash.
+    So few label rows can be broadcast, and the texts stay where they are."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id") != held_out)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     rank = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
     share = F.lit(0.0)
     for c in (0, 1):
         share = F.when(F.col("toxic") == c, min(1.0, per_class / max(1, counts.get(c, 0)))).otherwise(share)
-    return docs.select("doc_id", "text").join(known.where(rank < share), "doc_id").select("doc_id", "text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(known.where(rank < share)), "doc_id").select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, held_out: int = 0, **options) -> SubwordModel:
