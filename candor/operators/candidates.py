@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -61,20 +60,22 @@ def noise_gate(price: Column, similarity: Column, accessory: Column, source_acce
 
 def same_listing_dedupe(listings: DataFrame, keys: list[str], store: str = "store", least: float = 0.82) -> DataFrame:
     """Greedy: in input order, a listing whose title is like a kept one's of its store replaces it if it scores
-    higher, else goes. Order matters, so a (key, store) group is one task's; groups are a store's few answers."""
+    higher, else goes. Order matters, so the listings of one source are one task's; they are the few answers of its stores."""
 
     def dedupe(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
         rows = rows.sort_values("ordinal", kind="stable").reset_index(drop=True)
-        for i in range(len(rows)):
-            like = next((k for k, j in enumerate(kept) if SequenceMatcher(None, rows.title[i].lower(), rows.title[j].lower()).ratio() >= least), None)
+        names, titles, scores = rows[store].tolist(), [t.lower() for t in rows["title"]], rows["match_score"].tolist()
+        kept: dict[object, list[int]] = {}
+        for i, name in enumerate(names):
+            own = kept.setdefault(name, [])
+            like = next((k for k, j in enumerate(own) if titles[i] == titles[j] or SequenceMatcher(None, titles[i], titles[j]).ratio() >= least), None)
             if like is None:
-                kept.append(i)
-            elif rows.match_score[i] > rows.match_score[kept[like]]:
-                kept[like] = i
-        return rows.iloc[kept]
+                own.append(i)
+            elif scores[i] > scores[own[like]]:
+                own[like] = i
+        return rows.iloc[sorted(i for own in kept.values() for i in own)]
 
-    return listings.groupBy(*keys, store).applyInPandas(dedupe, listings.schema)
+    return listings.groupBy(*keys).applyInPandas(dedupe, listings.schema)
 
 
 def eligible_stores(source: DataFrame, stores: DataFrame, most: int = 8) -> DataFrame:
