@@ -22,7 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents without letters, or unlike every learned language, go."""
-    return langid.predict(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, langid.fit(docs)).where(~F.col("rejected")).select(*docs.columns)
+    names = {c: f"_{k}_{c}" for k, c in enumerate(docs.columns)}  # no column can clash with those that the operator adds
+    found = langid.predict(docs.withColumnsRenamed(names), langid.fit(docs), text=names["text"])
+    return found.where(~F.col("rejected")).select(*[F.col(v).alias(c) for c, v in names.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
