@@ -4,12 +4,12 @@ A text is a sequence of tokens (words between ASCII white space, A-Z lowered,
 then one end). Its words, joined by single spaces and closed by the end, are
 coded byte by byte; each byte is a path of bits in a Huffman code of the
 training bytes, which keeps common letters short. For every bit, several
-contexts (the last two bytes; the last four; the word so far; the word so far
-after the word before it) are hashed, each with the path to the bit, into a
+contexts (the last four bytes; the word so far with the last word of three bytes
+or fewer; the word so far; the word so far after the word before it) are hashed, each with the path to the bit, into a
 table of counts of zeros and ones; the counts' levels are a state, and what a
 state says is learned from bits outside the tables. The stretched predictions
-are added up with weights that a gate selects (place in the word, depth in the
-path). The sum is refined adaptively: each document carries two scales, for
+are added up with weights that a gate selects (place in the word, how often the
+word so far and the word pair were seen). The sum is refined adaptively: each document carries two scales, for
 bits that the word pair has or hasn't seen, updated online by Newton steps after every
 block of bits, before the next block is predicted. The sum of the bits' log
 probabilities is the score; over the bytes it gives bits per byte.
@@ -51,12 +51,13 @@ HELD_OUT, TUNE = 1, 4
 #: Common tokens that the workers get with their counts.
 COMMON = 1 << 16
 #: log2 of the slots of each context's table.
-TABLE_BITS = (18, 21, 23, 22)
+TABLE_BITS = (21, 22, 23, 22)
 #: Counters of a block of a table, as it travels.
 BLOCK = 1 << 16
 SEGMENT, LOOK_BACK = 1 << 15, 1 << 10
 BUFFER = 3 << 14
-GATES, DEPTHS = 5, 3
+PLACES, SURE = 4, 4
+GATES = PLACES * SURE * 2
 STEP_BITS = 512
 END, SPACE = 10, 32
 _ROOT, _NODE, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -85,7 +86,6 @@ class ByteCode:
     first: np.ndarray
     bit: np.ndarray
     node: np.ndarray  # spread over 32 bits
-    depth: np.ndarray
 
 
 def byte_code(counts: np.ndarray) -> ByteCode:
@@ -102,14 +102,14 @@ def byte_code(counts: np.ndarray) -> ByteCode:
         heapq.heappush(heap, (x + y, tie, low + high))
     size = np.array([len(c) for c in codes])
     nodes: dict[tuple, int] = {}
-    bit, node, depth = [], [], []
+    bit, node = [], []
     for c in codes:
         path = tuple(reversed(c))
         for k, x in enumerate(path):
-            bit.append(x), depth.append(min(k, DEPTHS - 1)), node.append(nodes.setdefault(path[:k], len(nodes)))
+            bit.append(x), node.append(nodes.setdefault(path[:k], len(nodes)))
     with np.errstate(over="ignore"):
         spread = np.array(node, dtype=np.uint32) * _NODE
-    return ByteCode(size.astype(np.int32), (np.cumsum(size) - size).astype(np.int32), np.array(bit, dtype=np.uint8), spread, np.array(depth, dtype=np.uint8))
+    return ByteCode(size.astype(np.int32), (np.cumsum(size) - size).astype(np.int32), np.array(bit, dtype=np.uint8), spread)
 
 
 def contexts(buffer: np.ndarray, piece_start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -125,19 +125,22 @@ def contexts(buffer: np.ndarray, piece_start: np.ndarray) -> tuple[list[np.ndarr
         prefix = (total[:-1] - total[word]) * _INVERSE[word]
         before = np.maximum(word - 1, 0)
         previous = np.where(word > piece_start, prefix[before] + np.uint64(1), np.uint64(0))
+        # The last word of three bytes or fewer before this one; such words tell the language.
+        ended = (buffer == SPACE) & (at - word <= 3) & (at > word)
+        short = np.maximum.accumulate(np.where(ended, at, -1))[before]
+        small = np.where((word > piece_start) & (short >= piece_start), prefix[np.maximum(short, 0)] + np.uint64(2), np.uint64(0))
         back = []
         for k in range(1, 5):
             b = np.zeros(n, dtype=np.uint64)
             b[k:] = wide[: n - k] + np.uint64(1)
             back.append(np.where(at - k >= piece_start, b, np.uint64(0)))
-        two = back[0] | back[1] << np.uint64(9)
-        four = two | back[2] << np.uint64(18) | back[3] << np.uint64(27)
-        hashed = [((c ^ (c >> np.uint64(29))) * _ROOT >> np.uint64(32)).astype(np.uint32) for c in (two, four + np.uint64(1 << 40), prefix, prefix + previous * np.uint64(0xD6E8FEB86659FD93))]
-    return hashed, np.minimum(at - word, GATES - 1)
+        four = back[0] | back[1] << np.uint64(9) | back[2] << np.uint64(18) | back[3] << np.uint64(27)
+        hashed = [((c ^ (c >> np.uint64(29))) * _ROOT >> np.uint64(32)).astype(np.uint32) for c in (four + np.uint64(1 << 40), prefix + small * np.uint64(0xA24BAED4963EE407), prefix, prefix + previous * np.uint64(0xD6E8FEB86659FD93))]
+    return hashed, np.minimum(at - word, PLACES - 1)
 
 
 class Bits:
-    """The bits of a buffer's predicted bytes: their table slots, values and gates."""
+    """The bits of a buffer's predicted bytes: their table slots, values and places in their word."""
 
     def __init__(self, code: ByteCode, pieces: list[tuple[int, bytes, int]], table_bits: tuple[int, ...]):
         buffer = np.frombuffer(b"".join(p[1] for p in pieces), dtype=np.uint8)
@@ -154,7 +157,7 @@ class Bits:
         node = code.node[k]
         with np.errstate(over="ignore"):
             self.slots = [((np.repeat(c, count) + node) * _SLOT) >> np.uint32(32 - b) for c, b in zip(hashed, table_bits, strict=True)]
-        self.gate = np.repeat((place * DEPTHS).astype(np.uint8), count) + code.depth[k]
+        self.place = np.repeat((place * SURE * 2).astype(np.uint8), count)
         self.owner = np.array([p[0] for p in pieces])
         ends = total[starts + sizes - 1].astype(np.int64)
         self.starts, self.ends = np.concatenate([[0], ends[:-1]]), ends
@@ -188,20 +191,26 @@ class MixingModel:
     weights: np.ndarray  # gates x (contexts + 1)
 
 
-#: Least counts of the 16 levels by which the zeros and the ones of a slot make its state.
-LEVELS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 22, 36, 64, 128, 300, 800, 3000, 20000])
+#: Slots of fewer than SMALL bits have their exact counts as state; others the stretched ratio in
+#: STEPS steps of WIDTH nats, with one bit for whether it comes from many bits.
+SMALL, STEPS, WIDTH, MANY = 16, 60, 0.25, 256
+_RATIOS = SMALL * (SMALL + 1) // 2
 
 
 def states_of(n: np.ndarray) -> np.ndarray:
     """(slots, 2) counts as states."""
-    levels = np.searchsorted(LEVELS, n, side="right") - 1
-    return (levels[:, 0] * 16 + levels[:, 1]).astype(np.uint8)
+    n = n.astype(np.int64)
+    total = n.sum(1)
+    ratio = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
+    step = np.clip(np.floor(ratio / WIDTH) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
+    return np.where(total < SMALL, total * (total + 1) // 2 + np.minimum(n[:, 1], total), _RATIOS + step * 2 + (total >= MANY)).astype(np.uint8)
 
 
 def first_maps(k: int, prior: float = 0.5) -> np.ndarray:
     """What the states say before they are checked against bits outside the tables."""
-    mid = LEVELS * 1.25
-    return np.tile(np.log((mid[None, :] + prior) / (mid[:, None] + prior)).ravel().astype(np.float32), (k, 1))
+    small = [np.log((one + prior) / (total - one + prior)) for total in range(SMALL) for one in range(total + 1)]
+    large = [(step - STEPS // 2 + 0.5) * WIDTH for step in range(STEPS) for _ in range(2)]
+    return np.tile(np.array(small + large, dtype=np.float32), (k, 1))
 
 
 def learned_maps(maps: np.ndarray, seen: np.ndarray, prior: float = 4.0) -> np.ndarray:
@@ -210,9 +219,15 @@ def learned_maps(maps: np.ndarray, seen: np.ndarray, prior: float = 4.0) -> np.n
     return np.clip(np.log((seen[:, :, 1] + prior * p) / (seen[:, :, 0] + prior * (1 - p))), -10, 10).astype(np.float32)
 
 
-def stretched(model: MixingModel, bits: Bits) -> list[np.ndarray]:
-    """What each table says of the bits."""
-    return [m[table[slot]] for m, table, slot in zip(model.maps, model.tables, bits.slots, strict=True)]
+#: How sure a state of the word's table is, by its bits: none, few, some, many.
+_SURENESS = np.array([0 if t == 0 else 1 if t < 4 else 2 for t in range(SMALL) for _ in range(t + 1)] + [2, 3] * STEPS, dtype=np.uint8) * np.uint8(2)
+_SEEN = (np.arange(256) > 0).astype(np.uint8)
+
+
+def stretched(model: MixingModel, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
+    """What each table says of the bits; and each bit's gate: place in the word, how sure the word's table is, whether the word pair was seen."""
+    states = [table[slot] for table, slot in zip(model.tables, bits.slots, strict=True)]
+    return [m[s] for m, s in zip(model.maps, states, strict=True)], bits.place + _SURENESS[states[-2]] + _SEEN[states[-1]]
 
 
 def mixed(model: MixingModel, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -235,9 +250,9 @@ def score_words(model: MixingModel, texts: list[list[bytes]]) -> tuple[np.ndarra
     scale, seen = np.ones((n, 2)), np.full((n, 2), 40.0)
     for pieces in buffers(texts):
         bits = Bits(model.code, pieces, model.table_bits)
-        x = stretched(model, bits)
-        s = np.clip(mixed(model, x, bits.gate), -14, 14)
-        kind = np.abs(x[-1]) > 0.3
+        x, gate = stretched(model, bits)
+        s = np.clip(mixed(model, x, gate), -14, 14)
+        kind = gate & 1
         sign = bits.bit.astype(np.float32) * 2 - 1
         coded[bits.owner] += bits.bytes
         active = np.arange(len(pieces))
@@ -369,12 +384,12 @@ def followed(model: MixingModel, bits: Bits) -> np.ndarray:
 def newton_sums(model: MixingModel, bits: Bits) -> np.ndarray:
     """Slope and curvature of the bits' log-likelihood in the gated weights, flat."""
     gates, k = model.weights.shape
-    x = stretched(model, bits)
-    p = 1 / (1 + np.exp(-mixed(model, x, bits.gate)))
-    order = np.argsort(bits.gate, kind="stable")
+    x, gate = stretched(model, bits)
+    p = 1 / (1 + np.exp(-mixed(model, x, gate)))
+    order = np.argsort(gate, kind="stable")
     x = np.stack([*x, np.ones(len(p), dtype=np.float32)])[:, order]
     e, w = (bits.bit - p)[order], (p * (1 - p))[order]
-    cuts = np.searchsorted(bits.gate[order], np.arange(gates + 1))
+    cuts = np.searchsorted(gate[order], np.arange(gates + 1))
     slope, curve = np.zeros((gates, k)), np.zeros((gates, k, k))
     for g in range(gates):
         part = x[:, cuts[g] : cuts[g + 1]]
@@ -383,6 +398,17 @@ def newton_sums(model: MixingModel, bits: Bits) -> np.ndarray:
     return np.concatenate([slope.ravel(), curve.ravel()])
 
 
+def first_weights(k: int) -> np.ndarray:
+    """Where the steps start: letters carry words that were never seen, words the others."""
+    w = np.full((PLACES, SURE, 2, k + 1), 1.2 / k)
+    w[..., -1] = 0
+    if k == 4:
+        w[:, 0, :, :4] = (0.85, 0.1, 0.1, 0.35)
+        w[:2, 1:, :, :4] = (0.3, 0.75, 0.05, 0.35)
+        w[2:, 1:, :, :4] = (0.35, 0.35, 0.35, 0.4)
+    return w.reshape(GATES, k + 1)
+
+
 def stepped(weights: np.ndarray, flat: np.ndarray, ridge: float = 20.0) -> np.ndarray:
     gates, k = weights.shape
     slope, curve = flat[: gates * k].reshape(gates, k), flat[gates * k :].reshape(gates, k, k)
@@ -392,9 +418,7 @@ def stepped(weights: np.ndarray, flat: np.ndarray, ridge: float = 20.0) -> np.nd
 def fit(train: DataFrame, counts: np.ndarray, table_bits: tuple[int, ...] = TABLE_BITS, steps: int = 2) -> MixingModel:
     """Learn from ``train`` (doc_id, text); ``counts`` are those of its bytes."""
     k = len(table_bits)
-    weights = np.full((GATES * DEPTHS, k + 1), 1.1 / k)
-    weights[:, -1] = 0
-    code, maps = byte_code(counts), first_maps(k)
+    code, maps, weights = byte_code(counts), first_maps(k), first_weights(k)
     parts = train.select("doc_id", "text")
     aside = parts.where(fold("doc_id") == TUNE)
     rest = spool(summed(table_counts(parts.where(fold("doc_id") != TUNE), code, table_bits)), "counts")
