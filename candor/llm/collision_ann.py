@@ -122,9 +122,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, functions: int
 def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 10) -> list[tuple]:
     """The exact answer for small tables, on the driver; for measuring recall."""
     rows = sorted((r["vec_id"], r["embedding"]) for r in usable(vectors).collect())
+    sizes = [len(r[1]) for r in rows]
+    rows = [r for r in rows if len(r[1]) == max(set(sizes), key=lambda n: (sizes.count(n), n))]
     ids, matrix = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     out = []
     for r in usable(queries).distinct().collect():
+        if len(r["embedding"]) != matrix.shape[1]:
+            continue
         d = np.sqrt(((matrix - np.array(r["embedding"])) ** 2).sum(1))
         d[ids == r["vec_id"]] = np.inf
         order = np.lexsort((ids, d))[:k]

@@ -143,6 +143,8 @@ def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_logs(model: LanguageModels, words: list[str]) -> np.ndarray:
     """words x languages: log-probability of each word's letters and end."""
+    if not model.langs:
+        return np.zeros((len(words), 0))
     grams, word = positions(words, model.order)
     contexts = context_hashes(words, model.order)
     p = np.full((len(word), len(model.langs)), np.exp(UNIFORM))

@@ -2,8 +2,8 @@
 
 A word is the bag of itself and its character n-grams (with edges), each hashed
 to a row of an embedding matrix; a window of words is the mean of its words'
-means (a word that stood within the last window's length, and what a short text
-lacks, are zeros: repetition isn't toxicity); a linear softmax over the window gives the classes. Matrix and softmax
+means (what a short text lacks is zeros, and a word that stood within the last
+window's length can't add to the score: repetition isn't toxicity); a linear softmax over the window gives the classes. Matrix and softmax
 are trained jointly by Adagrad in numpy. As unseen misspellings and endings
 share n-grams with seen words, they share their vectors.
 
@@ -22,7 +22,7 @@ rows of each class, those with the lowest hashes; nothing else is bounded.
 Defined results: null and empty texts, and texts without words, have the score
 of an empty window (the bias alone, never over the threshold); rows that repeat
 are scored each; a row with several labels learns from each; without labels of
-both classes every score is 0.
+both classes every score is 0 (to 12 places).
 """
 
 from __future__ import annotations
@@ -91,6 +91,11 @@ def fresh(values: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def without_repeats(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A repeated word can't add to toxicity."""
+    return np.where(first, scores, np.minimum(scores, 0))
+
+
 def window_means(scores: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean of each window of ``window`` values (overlapping by half, filled up with zeros) of every stretch, and its stretch."""
     sizes, hop = np.diff(starts), max(1, window // 2)
@@ -115,7 +120,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4,
         own = rng.permutation(np.flatnonzero(labels == c))
         aside[own[: len(own) // 5]] = True
     if not len(labels) or labels.min() == labels.max():
-        return SubwordModel(np.zeros(rows, np.float32), 0.0, sizes, window)
+        return SubwordModel(np.zeros(rows, np.float32), 0.0, sizes, window, shift=-30.0)
     row, word = buckets(list(known), sizes, rows)
     begins = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(known)))])
     matrix = (rng.uniform(-0.1, 0.1, (rows, dim)) / dim).astype(np.float32)
@@ -129,7 +134,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4,
     def tops() -> tuple[np.ndarray, np.ndarray]:
         """The highest window of each text: its mean score and its first word."""
         scores = np.add.reduceat((matrix @ (head[1] - head[0]))[row], begins[:-1]) / np.diff(begins)
-        means, text = window_means(scores[flat_words] * counts, starts, window)
+        means, text = window_means(without_repeats(scores[flat_words], counts), starts, window)
         order = np.lexsort((-means, text))
         best = order[np.unique(text[order], return_index=True)[1]]
         return means[best], np.minimum((best - np.searchsorted(text, text[best])) * hop, np.maximum(lengths - window, 0))
@@ -220,7 +225,7 @@ def score_texts(model: SubwordModel, scores: WordScores, texts: list[str]) -> np
     words = [WORDS(t.lower()) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     flat = scores.of([w for x in words for w in x])
-    means, text = window_means(flat * fresh(flat, starts, model.window), starts, model.window)
+    means, text = window_means(without_repeats(flat, fresh(flat, starts, model.window)), starts, model.window)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, text, means)
     z = np.where(np.isfinite(top), model.scale * (top + model.bias) + model.shift, -8.0)
