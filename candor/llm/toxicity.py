@@ -2,8 +2,9 @@
 
 A word is the bag of itself and its character n-grams (with edges), each hashed
 to a row of an embedding matrix; a window of words is the mean of its words'
-means (what a short text lacks is zeros, and a word that stood within the last
-window's length can't add to the score: repetition isn't toxicity); a linear softmax over the window gives the classes. Matrix and softmax
+means (what a short text lacks counts as usual words, and a word that stood
+within the last window's length as a usual word at most: repetition isn't
+toxicity); a linear softmax over the window gives the classes. Matrix and softmax
 are trained jointly by Adagrad in numpy. As unseen misspellings and endings
 share n-grams with seen words, they share their vectors.
 
@@ -45,7 +46,7 @@ WORDS = re.compile(r"[^\W_]+").findall
 
 @dataclass
 class SubwordModel:
-    """``row_score``: what a row of the matrix adds to the log-odds; ``bias``; log-odds are ``scale`` * x + ``shift``."""
+    """``row_score``: what a row of the matrix adds to the log-odds; ``bias``; log-odds are ``scale`` * x + ``shift``; ``usual``: the mean score of a word."""
 
     row_score: np.ndarray
     bias: float
@@ -53,6 +54,7 @@ class SubwordModel:
     window: int
     scale: float = 1.0
     shift: float = 0.0
+    usual: float = 0.0
 
 
 def buckets(words: list[str], sizes: tuple[int, ...], rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +93,13 @@ def fresh(values: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def without_repeats(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A repeated word can't add to toxicity."""
-    return np.where(first, scores, np.minimum(scores, 0))
+def without_repeats(scores: np.ndarray, first: np.ndarray, usual: float) -> np.ndarray:
+    """A repeated word can't say more than a usual word."""
+    return np.where(first, scores, np.minimum(scores, usual))
 
 
-def window_means(scores: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of each window of ``window`` values (overlapping by half, filled up with zeros) of every stretch, and its stretch."""
+def window_means(scores: np.ndarray, starts: np.ndarray, window: int, usual: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of each window of ``window`` values (overlapping by half, filled up with usual ones) of every stretch, and its stretch."""
     sizes, hop = np.diff(starts), max(1, window // 2)
     count = np.where(sizes > window, -(-(sizes - window) // hop) + 1, (sizes > 0).astype(np.int64))
     text = np.repeat(np.arange(len(sizes)), count)
@@ -105,7 +107,7 @@ def window_means(scores: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
     begin = starts[:-1][text] + np.minimum(k * hop, np.maximum(sizes[text] - window, 0))
     end = begin + np.minimum(window, sizes[text])
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    return (total[end] - total[begin]) / window, text
+    return (total[end] - total[begin] + usual * (window - (end - begin))) / window, text
 
 
 def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4, 5), rows: int = 1 << 18, dim: int = 8, window: int = 8, first: int = 2, epochs: int = 12, rate: float = 0.2, decay: float = 1e-3, seed: int = 7) -> SubwordModel:
@@ -134,7 +136,8 @@ def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4,
     def tops() -> tuple[np.ndarray, np.ndarray]:
         """The highest window of each text: its mean score and its first word."""
         scores = np.add.reduceat((matrix @ (head[1] - head[0]))[row], begins[:-1]) / np.diff(begins)
-        means, text = window_means(without_repeats(scores[flat_words], counts), starts, window)
+        usual = min(0.0, float(scores[flat_words].mean()))
+        means, text = window_means(without_repeats(scores[flat_words], counts, usual), starts, window, usual)
         order = np.lexsort((-means, text))
         best = order[np.unique(text[order], return_index=True)[1]]
         return means[best], np.minimum((best - np.searchsorted(text, text[best])) * hop, np.maximum(lengths - window, 0))
@@ -180,6 +183,8 @@ def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4,
             head -= (step * g_head / np.sqrt(seen_head)).astype(np.float32)
             bias -= 0.02 * step * error.mean(0)
     model = SubwordModel((matrix @ (head[1] - head[0])).astype(np.float32), float(bias[1] - bias[0]), sizes, window)
+    scores = np.add.reduceat(model.row_score[row], begins[:-1]) / np.diff(begins)
+    model.usual = min(0.0, float(scores[flat_words].mean()))
     held = aside if len(np.unique(labels[aside])) == 2 else ~aside
     return calibrated(model, tops()[0][held] + model.bias, labels[held])
 
@@ -225,7 +230,7 @@ def score_texts(model: SubwordModel, scores: WordScores, texts: list[str]) -> np
     words = [WORDS(t.lower()) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     flat = scores.of([w for x in words for w in x])
-    means, text = window_means(without_repeats(flat, fresh(flat, starts, model.window)), starts, model.window)
+    means, text = window_means(without_repeats(flat, fresh(flat, starts, model.window), model.usual), starts, model.window, model.usual)
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, text, means)
     z = np.where(np.isfinite(top), model.scale * (top + model.bias) + model.shift, -8.0)

@@ -73,7 +73,7 @@ def test_toxicity(spark):
 
 def test_repetition_is_not_toxicity():
     scores, starts = np.array([9.0] * 8 + [1.0]), np.array([0, 9])
-    assert toxicity.without_repeats(scores, toxicity.fresh(scores, starts, 8)).sum() == 10.0
+    assert toxicity.without_repeats(scores, toxicity.fresh(scores, starts, 8), -1.0).sum() == 9.0 - 7.0 + 1.0
 
 
 SMALL = (12, 12, 14, 14)
