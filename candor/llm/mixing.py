@@ -16,9 +16,9 @@ probabilities is the score; over the bytes it gives bits per byte.
 
 Learning covers every training document, in passes that add up counts: token
 counts; table counts (in blocks, summed over tasks; the size of the tables is a
-parameter, so what is sent to the workers has a fixed size); and, over one fold
-of the training documents with tables that leave that fold out, what follows
-each state and ``steps`` Newton steps of the gated weights. Then that fold's counts
+parameter, so what is sent to the workers has a fixed size); and, over every
+twenty-fifth document by hash with tables that leave these out, what follows
+each state and ``steps`` Newton steps of the gated weights. Then their counts
 join the tables.
 
 The base score needs each token's count. The most common tokens, a fixed number,
@@ -47,7 +47,10 @@ from pyspark.sql import functions as F
 
 from candor.llm.common import column, fold, slices, spool
 
-HELD_OUT, TUNE = 1, 4
+HELD_OUT = 1
+#: Training documents with this remainder of crc32(doc_id) by TUNE_OF are kept out of the tables while states and
+#: weights are learned, and are then added.
+TUNE, TUNE_OF = 4, 25
 #: Common tokens that the workers get with their counts.
 COMMON = 1 << 16
 #: log2 of the slots of each context's table.
@@ -55,10 +58,10 @@ TABLE_BITS = (21, 22, 23, 22)
 #: Counters of a block of a table, as it travels.
 BLOCK = 1 << 16
 SEGMENT, LOOK_BACK = 1 << 15, 1 << 10
-BUFFER = 3 << 14
+BUFFER = 1 << 16
 PLACES, SURE = 4, 4
 GATES = PLACES * SURE * 2
-STEP_BITS = 512
+STEP_BITS = 2048
 END, SPACE = 10, 32
 _ROOT, _NODE, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -231,10 +234,13 @@ def stretched(model: MixingModel, bits: Bits) -> tuple[list[np.ndarray], np.ndar
 
 
 def mixed(model: MixingModel, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-    w = model.weights.astype(np.float32)
-    s = w[:, -1][gate]
-    for k, part in enumerate(x):
-        s += w[:, k][gate] * part
+    w = np.ascontiguousarray(model.weights.T, dtype=np.float32)
+    at = gate.astype(np.intp)
+    s = w[-1].take(at)
+    for part, own in zip(x, w, strict=False):
+        own = own.take(at)
+        own *= part
+        s += own
     return s
 
 
@@ -248,29 +254,34 @@ def score_words(model: MixingModel, texts: list[list[bytes]]) -> tuple[np.ndarra
     n = len(texts)
     total, coded = np.zeros(n), np.zeros(n, dtype=np.int64)
     scale, seen = np.ones((n, 2)), np.full((n, 2), 40.0)
+    step, bend = np.zeros((n, 2)), np.zeros((n, 2))
     for pieces in buffers(texts):
         bits = Bits(model.code, pieces, model.table_bits)
         x, gate = stretched(model, bits)
         s = np.clip(mixed(model, x, gate), -14, 14)
-        kind = gate & 1
-        sign = bits.bit.astype(np.float32) * 2 - 1
+        kind = (gate & 1).astype(np.float32)
+        right = s * (bits.bit.astype(np.float32) * 2 - 1)  # log-odds of the bit that came
         coded[bits.owner] += bits.bytes
         active = np.arange(len(pieces))
         at = bits.starts.copy()
         while len(active):
             end = np.minimum(at[active] + STEP_BITS, bits.ends[active])
             size = end - at[active]
-            row = np.repeat(np.arange(len(active)), size)
-            i = np.arange(len(row)) + np.repeat(at[active] - np.cumsum(size) + size, size)
-            owner, si = bits.owner[active], s[i]
-            group = row * 2 + kind[i]
-            a = scale[owner].ravel()[group]
-            z = sign[i] * si * a
-            total[owner] += np.bincount(row, log_odds_loss(z), len(active)) / np.log(10)
-            wrong = 1 / (1 + np.exp(z))  # probability given to the other bit
-            step = np.bincount(group, wrong * sign[i] * si, 2 * len(active)).reshape(-1, 2)
-            seen[owner] += np.bincount(group, wrong * (1 - wrong) * si * si, 2 * len(active)).reshape(-1, 2)
-            scale[owner] = np.clip(scale[owner] + step / seen[owner], 0.3, 3.0)
+            cut = np.cumsum(size) - size
+            some = slice(at[active[0]], end[0]) if len(active) == 1 else np.arange(size.sum()) + np.repeat(at[active] - cut, size)
+            owner, own, seen_pair = bits.owner[active], right[some], kind[some]
+            use = scale[owner].astype(np.float32)
+            z = own * (np.repeat(use[:, 0], size) + np.repeat(use[:, 1] - use[:, 0], size) * seen_pair)
+            odds = 1 + np.exp(-z)
+            total[owner] -= np.add.reduceat(np.log(odds), cut, dtype=np.float64) / np.log(10)
+            wrong = 1 - 1 / odds  # probability given to the other bit
+            slope = wrong * own
+            curve = slope * own * (1 - wrong)
+            for value, to in ((slope, step), (curve, bend)):
+                paired = np.add.reduceat(value * seen_pair, cut)
+                to[owner, 1], to[owner, 0] = paired, np.add.reduceat(value, cut) - paired
+            seen[owner] += np.maximum(bend[owner], 0)
+            scale[owner] = np.clip(scale[owner] + step[owner] / seen[owner], 0.3, 3.0)
             at[active] = end
             active = active[end < bits.ends[active]]
     return total, coded
@@ -415,13 +426,14 @@ def stepped(weights: np.ndarray, flat: np.ndarray, ridge: float = 20.0) -> np.nd
     return np.stack([w + np.linalg.solve(c + ridge * np.eye(k), s) for w, s, c in zip(weights, slope, curve, strict=True)])
 
 
-def fit(train: DataFrame, counts: np.ndarray, table_bits: tuple[int, ...] = TABLE_BITS, steps: int = 2) -> MixingModel:
+def fit(train: DataFrame, counts: np.ndarray, table_bits: tuple[int, ...] = TABLE_BITS, steps: int = 3) -> MixingModel:
     """Learn from ``train`` (doc_id, text); ``counts`` are those of its bytes."""
     k = len(table_bits)
     code, maps, weights = byte_code(counts), first_maps(k), first_weights(k)
     parts = train.select("doc_id", "text")
-    aside = parts.where(fold("doc_id") == TUNE)
-    rest = spool(summed(table_counts(parts.where(fold("doc_id") != TUNE), code, table_bits)), "counts")
+    tuning = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TUNE_OF == TUNE
+    aside = parts.where(tuning)
+    rest = spool(summed(table_counts(parts.where(~tuning), code, table_bits)), "counts")
     model = MixingModel(code, table_bits, state_tables(rest, table_bits), maps, weights)
     model.maps = learned_maps(maps, added_up(aside, model, k * 512, followed).reshape(k, 256, 2))
     for _ in range(steps):
