@@ -9,10 +9,9 @@ or fewer; the word so far; the word so far after the word before it) are hashed,
 table of counts of zeros and ones; the counts' levels are a state, and what a
 state says is learned from bits outside the tables. The stretched predictions
 are added up with weights that a gate selects (place in the word, how often the
-word so far and the word pair were seen). The sum is refined adaptively: each document carries two scales, for
-bits that the word pair has or hasn't seen, updated online by Newton steps after every
-block of bits, before the next block is predicted. The sum of the bits' log
-probabilities is the score; over the bytes it gives bits per byte.
+word so far and the word pair were seen). The weights are mixed online: each document starts with the learned
+ones and moves them, by gradient steps, after every byte, before the next byte is predicted.
+The sum of the bits' log probabilities is the score; over the bytes it gives bits per byte.
 
 Learning covers every training document, in passes that add up counts: token
 counts; table counts (in blocks, summed over tasks; the size of the tables is a
@@ -61,7 +60,8 @@ SEGMENT, LOOK_BACK = 1 << 15, 1 << 10
 BUFFER = 1 << 16
 PLACES, SURE = 4, 4
 GATES = PLACES * SURE * 2
-STEP_BITS = 2048
+#: Step of the gated weights after each byte of a text.
+RATE = 0.015
 END, SPACE = 10, 32
 _ROOT, _NODE, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -160,6 +160,7 @@ class Bits:
         node = code.node[k]
         with np.errstate(over="ignore"):
             self.slots = [((np.repeat(c, count) + node) * _SLOT) >> np.uint32(32 - b) for c, b in zip(hashed, table_bits, strict=True)]
+        self.sizes = count[told]  # bits of each coded byte
         self.place = np.repeat((place * SURE * 2).astype(np.uint8), count)
         self.owner = np.array([p[0] for p in pieces])
         ends = total[starts + sizes - 1].astype(np.int64)
@@ -230,7 +231,11 @@ _SEEN = (np.arange(256) > 0).astype(np.uint8)
 def stretched(model: MixingModel, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
     """What each table says of the bits; and each bit's gate: place in the word, how sure the word's table is, whether the word pair was seen."""
     states = [table[slot] for table, slot in zip(model.tables, bits.slots, strict=True)]
-    return [m[s] for m, s in zip(model.maps, states, strict=True)], bits.place + _SURENESS[states[-2]] + _SEEN[states[-1]]
+    return [m[s] for m, s in zip(model.maps, states, strict=True)], gates_of(bits, states)
+
+
+def gates_of(bits: Bits, states: list[np.ndarray]) -> np.ndarray:
+    return bits.place + _SURENESS[states[-2]] + _SEEN[states[-1]]
 
 
 def mixed(model: MixingModel, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -249,41 +254,47 @@ def log_odds_loss(z: np.ndarray) -> np.ndarray:
     return np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
 
 
-def score_words(model: MixingModel, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability and coded bytes of each text."""
-    n = len(texts)
-    total, coded = np.zeros(n), np.zeros(n, dtype=np.int64)
-    scale, seen = np.ones((n, 2)), np.full((n, 2), 40.0)
-    step, bend = np.zeros((n, 2)), np.zeros((n, 2))
+def score_words(model: MixingModel, texts: list[list[bytes]], rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability and coded bytes of each text. All texts go on by one byte a step, each with weights of its
+    own, which start as the learned ones and move after every byte."""
+    n, k = len(texts), len(model.tables)
+    coded, in_text = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    parts: list[tuple[np.ndarray, ...]] = []
     for pieces in buffers(texts):
         bits = Bits(model.code, pieces, model.table_bits)
-        x, gate = stretched(model, bits)
-        s = np.clip(mixed(model, x, gate), -14, 14)
-        kind = (gate & 1).astype(np.float32)
-        right = s * (bits.bit.astype(np.float32) * 2 - 1)  # log-odds of the bit that came
+        states = [table[slot] for table, slot in zip(model.tables, bits.slots, strict=True)]
+        parts.append((np.stack(states, axis=1), gates_of(bits, states), bits.bit, bits.sizes))
         coded[bits.owner] += bits.bytes
-        active = np.arange(len(pieces))
-        at = bits.starts.copy()
-        while len(active):
-            end = np.minimum(at[active] + STEP_BITS, bits.ends[active])
-            size = end - at[active]
-            cut = np.cumsum(size) - size
-            some = slice(at[active[0]], end[0]) if len(active) == 1 else np.arange(size.sum()) + np.repeat(at[active] - cut, size)
-            owner, own, seen_pair = bits.owner[active], right[some], kind[some]
-            use = scale[owner].astype(np.float32)
-            z = own * (np.repeat(use[:, 0], size) + np.repeat(use[:, 1] - use[:, 0], size) * seen_pair)
-            odds = 1 + np.exp(-z)
-            total[owner] -= np.add.reduceat(np.log(odds), cut, dtype=np.float64) / np.log(10)
-            wrong = 1 - 1 / odds  # probability given to the other bit
-            slope = wrong * own
-            curve = slope * own * (1 - wrong)
-            for value, to in ((slope, step), (curve, bend)):
-                paired = np.add.reduceat(value * seen_pair, cut)
-                to[owner, 1], to[owner, 0] = paired, np.add.reduceat(value, cut) - paired
-            seen[owner] += np.maximum(bend[owner], 0)
-            scale[owner] = np.clip(scale[owner] + step[owner] / seen[owner], 0.3, 3.0)
-            at[active] = end
-            active = active[end < bits.ends[active]]
+        in_text[bits.owner] += bits.ends - bits.starts
+    if not parts:
+        return np.zeros(n), coded
+    states, gate, bit, sizes = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del parts
+    first_bit = np.cumsum(in_text) - in_text
+    order = np.argsort(-coded, kind="stable")
+    ends, at, byte = coded[order], first_bit[order], (np.cumsum(coded) - coded)[order]
+    maps, ladder = np.ascontiguousarray(model.maps).ravel(), np.arange(k) * 256
+    own = np.tile(model.weights.astype(np.float32).ravel(), n)
+    flat, cell = np.zeros(n), np.arange(k + 1)
+    alive = np.searchsorted(-ends, -np.arange(ends[0] if n else 0), side="left")  # texts of more than j bytes
+    numbers = np.arange(n)
+    for j, active in enumerate(alive.tolist()):
+        size = sizes[byte[:active] + j]
+        stop = np.cumsum(size)
+        cut = stop - size
+        text = np.repeat(numbers[:active], size)
+        some = np.arange(stop[-1]) + (at[:active] - cut)[text]
+        x = np.ones((len(some), k + 1), dtype=np.float32)
+        x[:, :k] = maps[states[some] + ladder]
+        where = ((text * GATES + gate[some]) * (k + 1))[:, None] + cell
+        z = np.clip((own[where] * x).sum(1), -14, 14)
+        p = 1 / (1 + np.exp(-z))
+        hit = bit[some]
+        flat[:active] += np.add.reduceat(np.log(np.where(hit, p, 1 - p)), cut, dtype=np.float64)
+        np.add.at(own, where.ravel(), (x * (rate * (hit - p))[:, None]).ravel().astype(np.float32))
+        at[:active] += size
+    total = np.zeros(n)
+    total[order] = flat / np.log(10)
     return total, coded
 
 
@@ -477,7 +488,7 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, table_bits: tuple[int,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, common_words = sent.value
         nothing = (0.0, 0)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches):
             texts = [words_of(t) for t in column(batch, "text").to_pylist()]
             logs, coded = score_words(m, texts)
             base, seen = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
@@ -490,7 +501,8 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, table_bits: tuple[int,
                 names=["doc_id", "key", "n_tokens", "seen", "common_log", "score", "bits_per_byte"],
             )
 
-    scored = keyed.mapInArrow(score, "doc_id bigint, key bigint, n_tokens bigint, seen bigint, common_log double, score double, bits_per_byte double")
+    # Texts of like length together: a batch takes as many steps as its longest text has bytes.
+    scored = keyed.sortWithinPartitions(F.octet_length("text")).mapInArrow(score, "doc_id bigint, key bigint, n_tokens bigint, seen bigint, common_log double, score double, bits_per_byte double")
     others = keyed.mapInArrow(rare, "key bigint, word binary, n bigint, mark int").join(table, "word", "left")
     per_text = others.groupBy(F.col("key").alias("k")).agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_seen"), F.sum("mark").alias("copies")

@@ -124,3 +124,33 @@ def test_long_texts_are_cut_where_only_context_is_lost():
     words = [b"word%d" % (i % 50) for i in range(20000)]
     parts = list(mixing.buffers([words]))
     assert b"".join(p[1][p[2] :] for part in parts for p in part) == b" ".join(words) + b"\n"
+
+
+def test_mixing_weights_move_within_short_texts():
+    """Against bit-by-bit gradient steps; with weights of 0 only what is learned within the text tells anything."""
+    texts = [mixing.words_of("the cat sat on the mat and the dog sat on the log"), [], [b"cat"], mixing.words_of("the dog")]
+    code = mixing.byte_code(np.bincount(np.frombuffer(b"the cat sat on the mat\n", dtype=np.uint8), minlength=256))
+    seen = mixing.Bits(code, next(mixing.buffers(texts[:1])), SMALL)
+    tables = []
+    for b, slot in zip(SMALL, seen.slots, strict=True):
+        counts = np.zeros((1 << b, 2), dtype=np.int64)
+        np.add.at(counts, (slot, seen.bit), 5)
+        tables.append(mixing.states_of(counts))
+    model = mixing.MixingModel(code, SMALL, tables, mixing.first_maps(4), np.zeros((mixing.GATES, 5)))
+    got, coded = mixing.score_words(model, texts)
+    assert coded.tolist() == [50, 1, 4, 8]
+    assert got[0] > -0.9 * len(seen.bit) * math.log10(2)
+    for text, score in zip(texts, got, strict=True):
+        bits = mixing.Bits(code, next(mixing.buffers([text])), SMALL)
+        x, gate = mixing.stretched(model, bits)
+        x = np.stack([*x, np.ones(len(gate))], 1)
+        w, total, k = model.weights.copy(), 0.0, 0
+        for size in code.size[np.frombuffer(b" ".join(text) + b"\n", dtype=np.uint8)]:
+            move = np.zeros_like(w)
+            for i in range(k, k + size):
+                p = 1 / (1 + math.exp(-(w[gate[i]] @ x[i])))
+                total += math.log10(p if bits.bit[i] else 1 - p)
+                move[gate[i]] += mixing.RATE * (bits.bit[i] - p) * x[i]
+            w, k = w + move, k + size
+        assert score == pytest.approx(total, rel=1e-4)
+        assert mixing.score_words(model, [text])[0][0] == pytest.approx(score, rel=1e-6)
