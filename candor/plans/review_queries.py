@@ -26,6 +26,16 @@ pairs AS (
   FROM kx AS a JOIN kx AS b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8
 )
 """
+WHOLE_SQL = rf"""
+ws AS (SELECT doc_id AS id, list_filter(string_split({KEY_SQL}, ' '), lambda w: w <> '') AS w FROM documents),
+gs AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')))) AS g FROM ws WHERE len(w) >= 4),
+cl AS (SELECT min(id) AS id, g, count(*) AS c FROM gs GROUP BY g),
+cx AS (SELECT id, len(g) AS n, unnest(g) AS gram FROM cl),
+cp AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS overlap, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard
+  FROM cx AS a JOIN cx AS b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8
+)
+"""
 SENTIMENT_SQL = f"""
 lex AS (SELECT *, (SELECT count(*) FROM (VALUES {", ".join(f"('{w}')" for w in GOOD)}) AS v(w) WHERE contains(lower(text), w)) AS p,
                (SELECT count(*) FROM (VALUES {", ".join(f"('{w}')" for w in BAD)}) AS v(w) WHERE contains(lower(text), w)) AS q FROM documents),
@@ -66,6 +76,16 @@ def neardup_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.flagged(src.table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def neardup_whole_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different gram sets, without a limit on how common a gram is; a and b are the least ids of their sets' texts."""
+    p = neardup.class_pairs(neardup.gram_classes(src.table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return p.select("a", "b", "overlap", F.round("jaccard", 6).alias("jaccard"))
+
+
+def neardup_whole_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.whole_flagged(src.table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.exact_groups(src.table(spark, sf_dir, "documents"), "doc_id", tx.review_hash("text")).select(F.col("key").alias("review_hash"), "first_id", "n")
 
@@ -218,10 +238,12 @@ SELECT conv_id, turn, role FROM a QUALIFY row_number() OVER (PARTITION BY conv_i
 
 QUERIES = {
     f.__name__: f
-    for f in (neardup_trigram_pairs, neardup_flagged, exact_duplicate_groups, distinct_ratio_by_source, sentiment_lexicon, review_rule_findings, two_way_verdict, model_merge, trust_score_by_source, findings_summary, latin_gate, event_burst_zscore, burst_peaks, layered_review_merge)
+    for f in (neardup_trigram_pairs, neardup_flagged, neardup_whole_classes, neardup_whole_flagged, exact_duplicate_groups, distinct_ratio_by_source, sentiment_lexicon, review_rule_findings, two_way_verdict, model_merge, trust_score_by_source, findings_summary, latin_gate, event_burst_zscore, burst_peaks, layered_review_merge)
 }
 ORACLE_SQL = {
     "neardup_trigram_pairs": f"WITH {PAIRS_SQL} SELECT a, b, overlap, round(jaccard, 6) AS jaccard FROM pairs",
+    "neardup_whole_classes": f"WITH {WHOLE_SQL} SELECT a, b, overlap, round(jaccard, 6) AS jaccard FROM cp",
+    "neardup_whole_flagged": f"WITH {WHOLE_SQL} SELECT gs.id AS doc_id FROM gs JOIN cl USING (g) WHERE cl.c > 1 OR cl.id IN (SELECT a FROM cp UNION SELECT b FROM cp)",
     "neardup_flagged": f"WITH {PAIRS_SQL} SELECT a AS doc_id FROM pairs UNION SELECT b FROM pairs",
     "exact_duplicate_groups": EXACT,
     "distinct_ratio_by_source": DISTINCT,

@@ -213,3 +213,21 @@ def test_picture_features():
     assert square.shape == (40, 40, 3) and visual.phash(square) == visual.phash(square.copy()) < 1 << 64
     assert visual.hsv_histogram(picture).sum() == pytest.approx(1.0)
     assert visual.decoded(b"short") is None
+
+
+def test_near_duplicates_of_common_texts(spark):
+    """Sixty copies have only grams of more than 50 texts, as do two texts that differ in a word."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    texts = [base] * 60 + [base + " more", "quite another text of six words", "quite another text of other words", None, "a b c"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert not neardup.flagged(d, "id", "text").count()
+    assert sorted(r["id"] for r in neardup.whole_flagged(d, "id", "text").collect()) == list(range(61))
+    pairs = neardup.class_pairs(neardup.gram_classes(d, "id", "text")).collect()
+    assert [(r["a"], r["b"], r["overlap"]) for r in pairs] == [(0, 60, 18)]
+
+
+def test_exact_mode_of_small_groups(spark):
+    near = "a fine kettle that boils water for tea quickly"
+    rows = [("p", 1, near), ("p", 2, near + "."), ("p", 3, near.replace("fine", "fino")), ("p", 4, "a b c"), ("p", 5, "a b c"), ("q", 6, near), (None, 7, near), (None, 8, near)] + [("r", 100 + i, near) for i in range(151)]
+    d = spark.createDataFrame(rows, "g string, id int, text string")
+    assert sorted(r["id"] for r in neardup.exact_flagged(d, "g", "id", "text").collect()) == [1, 2, 3, 7, 8]
