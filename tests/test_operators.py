@@ -231,3 +231,15 @@ def test_exact_mode_of_small_groups(spark):
     rows = [("p", 1, near), ("p", 2, near + "."), ("p", 3, near.replace("fine", "fino")), ("p", 4, "a b c"), ("p", 5, "a b c"), ("q", 6, near), (None, 7, near), (None, 8, near)] + [("r", 100 + i, near) for i in range(151)]
     d = spark.createDataFrame(rows, "g string, id int, text string")
     assert sorted(r["id"] for r in neardup.exact_flagged(d, "g", "id", "text").collect()) == [1, 2, 3, 7, 8]
+
+
+def test_all_titles_of_a_block_are_paired(spark, tmp_path):
+    """The first and fourth title of a block, three ids apart, meet; equal titles are one class."""
+    from candor.plans import match_queries
+
+    parts = [(1, "red bolt", 5), (2, "old gear", 6), (3, "new ring", 7), (4, "red bolt", 9), (5, "red bolt", 5)]
+    rows = [(i, name, "Brand#1", "SMALL", size, 1.0) for i, name, size in parts]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["a_id"], r["b_id"]): (r["a_parts"], r["b_parts"]) for r in match_queries.title_class_jaccard(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)} and got[1, 4] == (2, 1)
+    assert {(r["part_id"], r["class_id"]) for r in match_queries.title_class_members(spark, str(tmp_path)).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
