@@ -13,7 +13,7 @@ word so far and the word pair were seen). The weights are mixed online: each doc
 ones and moves them, by gradient steps, after every byte, before the next byte is predicted.
 The sum of the bits' log probabilities is the score; over the bytes it gives bits per byte.
 
-Learning covers every training document, in passes that add up counts: token
+The tables cover every training document. Learning goes in passes that add up counts: token
 counts; table counts (in blocks, summed over tasks; the size of the tables is a
 parameter, so what is sent to the workers has a fixed size); and, over every
 twenty-fifth document by hash with tables that leave these out, what follows
