@@ -99,12 +99,12 @@ def without_repeats(scores: np.ndarray, first: np.ndarray, usual: float) -> np.n
 
 
 def window_means(scores: np.ndarray, starts: np.ndarray, window: int, usual: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of each window of ``window`` values (overlapping by half, filled up with usual ones) of every stretch, and its stretch."""
-    sizes, hop = np.diff(starts), max(1, window // 2)
-    count = np.where(sizes > window, -(-(sizes - window) // hop) + 1, (sizes > 0).astype(np.int64))
+    """Mean of each window of ``window`` values (from each place on, filled up with usual ones) of every stretch, and its stretch."""
+    sizes = np.diff(starts)
+    count = np.where(sizes > window, sizes - window + 1, (sizes > 0).astype(np.int64))
     text = np.repeat(np.arange(len(sizes)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    begin = starts[:-1][text] + np.minimum(k * hop, np.maximum(sizes[text] - window, 0))
+    begin = starts[:-1][text] + k
     end = begin + np.minimum(window, sizes[text])
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
     return (total[end] - total[begin] + usual * (window - (end - begin))) / window, text
@@ -130,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4,
     seen, seen_head = np.full(rows, 1e-6, np.float32), 1e-6
     lengths = np.array([len(x) for x in ids])
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    flat_words, hop = np.concatenate(ids), max(1, window // 2)
+    flat_words = np.concatenate(ids)
     counts = fresh(flat_words, starts, window)
 
     def tops() -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def train(texts: list[str], labels: np.ndarray, sizes: tuple[int, ...] = (3, 4,
         means, text = window_means(without_repeats(scores[flat_words], counts, usual), starts, window, usual)
         order = np.lexsort((-means, text))
         best = order[np.unique(text[order], return_index=True)[1]]
-        return means[best], np.minimum((best - np.searchsorted(text, text[best])) * hop, np.maximum(lengths - window, 0))
+        return means[best], best - np.searchsorted(text, text[best])
 
     short = np.flatnonzero(~aside & (lengths <= max(256, np.quantile(lengths, 0.4))))
     if len(np.unique(labels[short])) < 2:

@@ -76,6 +76,15 @@ def test_repetition_is_not_toxicity():
     assert toxicity.without_repeats(scores, toxicity.fresh(scores, starts, 8), -1.0).sum() == 9.0 - 7.0 + 1.0
 
 
+def test_worst_window_does_not_depend_on_clean_words_before():
+    for lead in range(9):
+        scores = np.array([0.0] * lead + [4.0] + [0.0] * 6 + [4.0] + [0.0] * 20)
+        means, text = toxicity.window_means(scores, np.array([0, len(scores), len(scores) + 0]), 8, -1.0)
+        assert means.max() == 1.0 and set(text) == {0}
+    short, _ = toxicity.window_means(np.array([4.0, 4.0]), np.array([0, 2]), 8, -1.0)
+    assert short.tolist() == [(8.0 - 6.0) / 8]
+
+
 SMALL = (12, 12, 14, 14)
 
 
