@@ -169,7 +169,7 @@ def links(prints: DataFrame, radius: int = 2, name: str = "simhash", tile: int =
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each component, by large-star and small-star in turn."""
+    """(node, root): the least node of each component, by large-star and small-star in turn; an error if ``rounds`` are too few."""
     edges = spool(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -183,6 +183,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 

@@ -158,3 +158,10 @@ def test_neighbours(spark):
     few = collision_ann.nearest(v.where("vec_id < 4"), v.where("vec_id = 0")).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2, 3]
     assert collision_ann.nearest(v.where("vec_id < 0"), q.where("vec_id < 0")).count() == 0
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 13)}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=1)
