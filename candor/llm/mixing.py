@@ -318,6 +318,23 @@ def token_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def byte_counts(table: DataFrame) -> np.ndarray:
+    """Counts of the 256 bytes in all words of a token table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, dtype=np.int64)
+        for batch in batches:
+            words = column(batch, "word").to_pylist()
+            data = np.frombuffer(b"".join(words), dtype=np.uint8)
+            np.add.at(total, data, np.repeat(column(batch, "c").to_numpy(), [len(w) for w in words]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
+
+    counts = np.zeros(256)
+    for r in table.mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        counts[r["byte"]] = r["n"]
+    return counts
+
+
 def table_counts(docs: DataFrame, code: ByteCode, table_bits: tuple[int, ...] = TABLE_BITS) -> DataFrame:
     """(tab, block, data): counts of zeros and ones in every slot, block by block, one row a block and task."""
 
@@ -463,9 +480,7 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, table_bits: tuple[int,
     known = table.agg(F.count("*"), F.sum("c")).first()
     n_tokens, n_kinds = (known[1] or 0) + n_docs, known[0] + (n_docs > 0)
     top = {bytes(r["word"]): r["c"] for r in table.orderBy(F.desc("c"), "word").limit(common).collect()}
-    counts = np.zeros(256)
-    for word, c in top.items():
-        counts += c * np.bincount(np.frombuffer(word, dtype=np.uint8), minlength=256)
+    counts = byte_counts(table)
     counts[SPACE], counts[END] = max(0, n_tokens - 2 * n_docs), n_docs
     model = fit(train, counts, table_bits)
     sent = spark.sparkContext.broadcast((model, {w: (np.log10(c + 0.5), c) for w, c in top.items()}))

@@ -163,3 +163,14 @@ def test_mixing_weights_move_within_short_texts():
             w, k = w + move, k + size
         assert score == pytest.approx(total, rel=1e-4)
         assert mixing.score_words(model, [text])[0][0] == pytest.approx(score, rel=1e-6)
+
+
+def test_mixing_code_is_of_all_training_bytes(docs, spark, monkeypatch):
+    """The words beyond the most common ones count too."""
+    given, real = [], mixing.byte_code
+    monkeypatch.setattr(mixing, "byte_code", lambda counts: given.append(counts.copy()) or real(counts))
+    mixing.mixing_scores(docs, common=5, table_bits=SMALL)
+    train = [mixing.words_of(r["text"]) for r in docs.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    want = np.bincount(np.frombuffer(b"".join(w for t in train for w in t), dtype=np.uint8), minlength=256)
+    want[mixing.SPACE], want[mixing.END] = sum(map(len, train)) - len(train), len(train)
+    assert given[0].tolist() == want.tolist()
