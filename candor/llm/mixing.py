@@ -54,14 +54,14 @@ from candor.llm.common import column, fold, slices, split_count, spool
 
 HELD_OUT = 1
 #: Bits of a symbol in a key; two symbols are the end and the escape, the others common words of up to LONGEST bytes.
-SYMBOL_BITS = 18
+SYMBOL_BITS = 17
 COMMON, LONGEST = (1 << SYMBOL_BITS) - 2, 64
 #: A common word was seen at least so often; the others show how new words are spelled.
 LEAST = 2
 #: Bits of the hash of a pair of words in a key.
 PAIR_BITS = 40
 #: Contexts of the last short word: the most common ones, and one for all else.
-SHORTS = 64
+SHORTS = 32
 #: Hashed contexts of the last three bytes.
 BYTES = 1 << 14
 STOP = 256
@@ -188,7 +188,7 @@ def first_weights() -> np.ndarray:
 class Vocabulary:
     """The common words in the order of their symbols, with all that follows from them. ``shorts``: context of each symbol as last short word, or -1."""
 
-    words: list[bytes]
+    words: list[bytes] | None
     counts: np.ndarray  # of the symbols
     byte_counts: np.ndarray
     end: int = 0
@@ -204,6 +204,7 @@ class Vocabulary:
         self.size = np.concatenate([self.code.size, self.spelling.size])
         self.first = np.concatenate([self.code.first, self.spelling.first + len(self.code.node)])
         self.path = np.concatenate([self.code.node * 2 + self.code.bit, self.spelling.node * 2 + self.spelling.bit])
+        self.code.node = self.code.bit = self.spelling.node = self.spelling.bit = None  # the paths hold them
         self.lengths = np.array([len(w) if w is not None else 0 for w in self.words], dtype=np.int64)
         self.listed = pa.array(self.words, pa.large_binary())
         self.hashes = np.array([xxhash.xxh64_intdigest(w) if w is not None else 0 for w in self.words], dtype=np.uint64)
@@ -211,6 +212,7 @@ class Vocabulary:
         self.shorts = np.full(n, -1, dtype=np.int64)
         short = [i for i, w in enumerate(self.words) if w is not None and len(w) <= 3]
         self.shorts[short] = np.minimum(np.arange(len(short)), SHORTS - 1)
+        self.words = None  # ``listed`` holds them
 
 
 def vocabulary(top: list[tuple[bytes, int]], n_docs: int, rare: int, byte_counts: np.ndarray) -> Vocabulary:
@@ -776,10 +778,12 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, least: int = LEAST, sli
     voc = vocabulary(list(zip(words, counts.tolist(), strict=True)), n_docs, rare, letters)
     sent = spark.sparkContext.broadcast(voc)
     coded = spool(coded_slices(sent, docs, slice_bytes), "coded")
+    n_slices = coded.count()
+    coded = coded.repartition(split_count(n_slices, 2), "slice")  # small files would be read by few tasks
     model = spark.sparkContext.broadcast(MixingModel(voc, dense_tables(voc, summed(dense_counts(sent, coded))), first_weights()))
     buckets = split_count(coded.agg(F.sum(F.octet_length("data"))).first()[0], bucket)
     told = answers(sent, entries(sent, coded, buckets), buckets)
-    scored = scored_slices(model, coded, told, split_count(coded.count(), 2), stride, rate)
+    scored = scored_slices(model, coded, told, split_count(n_slices, 2), stride, rate)
     per_text = rare_words(sent, coded).join(table, "word", "left").groupBy("slice", "place").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_seen"))
     norm = float(np.log10(n_tokens + 0.5 * (n_kinds + 1)))
     return scored.join(per_text, ["slice", "place"], "left").select(
