@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -20,19 +20,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (as in tests) gets a folder of its own.
-    """
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; an error without it, since a folder of
+    one machine is none that executors could read."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="candor-checkpoint-")
-        sc.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if sc.master.startswith("local"):  # driver and executors are one machine
+        from pathlib import Path
+
+        return str(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).parent / "candor-checkpoint")
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:

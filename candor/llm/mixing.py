@@ -50,7 +50,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import column, fold, slices, split_count, spool
+from candor.llm.common import column, fold, release, slices, split_count, spool
 
 HELD_OUT = 1
 #: Bits of a symbol in a key; two symbols are the end and the escape, the others common words of up to LONGEST bytes.
@@ -71,12 +71,12 @@ STRIDE, RATE = 16, 0.3
 CALM = 100.0
 #: Tokens of texts that go on together (or one longer text).
 TOGETHER = 1 << 15
-#: Bytes of text in a slice, and entries in a bucket of pairs.
-SLICE, BUCKET = 4 << 20, 2_000_000
+#: Bytes of text in a slice, and of coded slices whose pairs make up a bucket.
+SLICE, BUCKET = 2 << 20, 1 << 20
 #: Counts from FULL on are given as shares of FULL.
 FULL = 255
 #: Weight of the context-free prediction in that of a short word, and the part of a count that every branch has.
-PRIOR, PART = 12.0, 0.4
+PRIOR, PART = 1.0, 0.4
 #: Stretched predictions of the dense tables are kept in steps of 1 / STEPS.
 STEPS = 10
 LEVELS, RUNS = 5, 3
@@ -338,6 +338,8 @@ def dense_counts(sent: Broadcast, coded: DataFrame) -> DataFrame:
         for tab, (table, blocks) in enumerate(zip(tables, (SHORTS, BYTES // 64, BYTES // 64), strict=True)):
             rows = [(b, pack.compress(part.tobytes())) for b, part in enumerate(table.reshape(blocks, -1)) if part.any()]
             yield _block_rows(tab, rows)
+        del tables, table
+        release()
 
     return coded.select("data").mapInArrow(run, "tab int, block int, data binary")
 
@@ -452,6 +454,7 @@ def entries(sent: Broadcast, coded: DataFrame, buckets: int) -> DataFrame:
                 at = np.searchsorted(keys, cuts).tolist()
                 rows = [(b, number, j - i, pack.compress(_delta(keys[i:j]) + np.ascontiguousarray(counts[i:j].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "slice", "n", "data"])
+        release()
 
     return coded.select("slice", "data").mapInArrow(run, "bucket int, slice bigint, n bigint, data binary")
 
@@ -477,6 +480,7 @@ def answers(sent: Broadcast, asked: DataFrame, buckets: int) -> DataFrame:
             keys.append(np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64))
             counts.append(np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel())
         found = answered(code, keys, counts)
+        release()
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"slice": table.column("slice"), "bucket": pa.array([bucket] * len(found), pa.int32()), "n": table.column("n"), "data": pa.array([pack.compress(np.packbits(flag).tobytes() + path.tobytes()) for flag, path in found], pa.binary())})
 
@@ -667,7 +671,7 @@ def token_table(docs: DataFrame) -> DataFrame:
     """(word, c): counts of the words of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=4 * SLICE):
+        for batch in slices(batches):
             found = pc.value_counts(words_of(column(batch, "text"))[0])
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
 
@@ -741,6 +745,7 @@ def scored_slices(model: Broadcast, coded: DataFrame, told: DataFrame, parts: in
             head = -(-n[k] // 8)
             flags.append(np.unpackbits(raw[:head], count=n[k]).astype(bool)), paths.append(raw[head:])
         score, coded_bytes = score_slice(m, s, np.concatenate(flags), np.concatenate(paths), stride, rate)
+        release()
         log = np.log10(m.voc.counts + 0.5)
         log[m.voc.escape] = 0
         starts, number = s.starts(), table.column("slice")[0].as_py()
