@@ -103,11 +103,12 @@ def _powers(n: int) -> np.ndarray:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, and how many each has; a null has none."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Not cast before: the kernels misread a cast slice.
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, sizes = parts.flatten(), np.diff(parts.offsets.to_numpy())
     some = pc.greater(pc.binary_length(flat), 0)  # white space around a text leaves empty words
     owner = np.repeat(np.arange(len(sizes)), sizes)[some.to_numpy(zero_copy_only=False)]
-    return flat.filter(some).cast(pa.large_binary()), np.bincount(owner, minlength=len(sizes))
+    return flat.filter(some).cast(pa.binary()).cast(pa.large_binary()), np.bincount(owner, minlength=len(sizes))
 
 
 def code_sizes(counts: np.ndarray) -> np.ndarray:
