@@ -45,12 +45,12 @@ def release() -> None:
         pass
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and a lost executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/candor/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +60,31 @@ def fold(id_col: str | Column) -> Column:
     return (F.crc32(c.cast("string").cast("binary")) % F.lit(5)).cast("int")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_key(df: DataFrame, text: str = "text") -> list[Column]:
+    """Two hashes and the length that, with its doc_id, name a row's text."""
+    t = F.coalesce(df[text], F.lit(""))
+    return [F.xxhash64(t), F.hash(t), F.octet_length(t)]
+
+
+KEY = ["_id", "_hash", "_other", "_size"]
+
+
+def same_row(df: DataFrame, listed: DataFrame) -> Column:
+    """Whether a row of ``df`` (doc_id, text) is the one that ``listed`` names by the columns of ``KEY``; nothing is added to ``df``."""
+    out = df["doc_id"].eqNullSafe(listed[KEY[0]])
+    for k, c in zip(KEY[1:], text_key(df), strict=True):
+        out = out & (c == listed[k])
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece add up to about ``limit``
     bytes (a single longer text stands alone)."""

@@ -58,8 +58,8 @@ SYMBOL_BITS = 17
 COMMON, LONGEST = (1 << SYMBOL_BITS) - 2, 64
 #: A common word was seen at least so often; the others show how new words are spelled.
 LEAST = 2
-#: Bits of the hash of a pair of words in a key.
-PAIR_BITS = 40
+#: Bits of the hash of a pair of words in a key: so many more than those of the number of training tokens, up to MOST_BITS.
+SPARE_BITS, MOST_BITS = 6, 46
 #: Contexts of the last short word: the most common ones, and one for all else.
 SHORTS = 32
 #: Hashed contexts of the last three bytes.
@@ -72,7 +72,7 @@ CALM = 100.0
 #: Tokens of texts that go on together (or one longer text).
 TOGETHER = 1 << 15
 #: Bytes of text in a slice, and of coded slices whose pairs make up a bucket.
-SLICE, BUCKET = 2 << 20, 1 << 20
+SLICE, BUCKET = 3 << 20, 1 << 20
 #: Counts from FULL on are given as shares of FULL.
 FULL = 255
 #: Weight of the context-free prediction in that of a short word, and the part of a count that every branch has.
@@ -192,8 +192,9 @@ class Vocabulary:
     words: list[bytes] | None
     counts: np.ndarray  # of the symbols
     byte_counts: np.ndarray
-    end: int = 0
-    escape: int = 0
+    end: int
+    escape: int
+    pair_bits: int
 
     def __post_init__(self) -> None:
         self.code, self.spelling = Code(np.sort(code_sizes(self.counts))), Code(np.sort(code_sizes(self.byte_counts)))
@@ -223,7 +224,8 @@ def vocabulary(top: list[tuple[bytes, int]], n_docs: int, rare: int, byte_counts
     sizes = code_sizes(counts)
     order = np.lexsort((-counts, sizes))
     back = np.argsort(order)
-    return Vocabulary([words[i] for i in order.tolist()], counts[order], byte_counts, int(back[-2]), int(back[-1]))
+    bits = min(MOST_BITS, max(16, int(counts.sum()).bit_length() + SPARE_BITS))
+    return Vocabulary([words[i] for i in order.tolist()], counts[order], byte_counts, int(back[-2]), int(back[-1]), bits)
 
 
 @dataclass
@@ -284,7 +286,7 @@ class Slice:
         two[(starts + 1)[self.sizes > 1]] = _BEGIN
         with np.errstate(over="ignore"):
             mix = one * _K1 + two * _K2
-            mix = (mix ^ mix >> np.uint64(29)) * _K3 >> np.uint64(64 - PAIR_BITS)
+            mix = (mix ^ mix >> np.uint64(29)) * _K3 >> np.uint64(64 - voc.pair_bits)
         return mix << np.uint64(SYMBOL_BITS) | self.symbols.astype(np.uint64)
 
     def last_shorts(self, voc: Vocabulary) -> np.ndarray:
@@ -442,8 +444,8 @@ def _delta(keys: np.ndarray) -> bytes:
 
 def entries(sent: Broadcast, coded: DataFrame, buckets: int) -> DataFrame:
     """(bucket, slice, n, data): the different keys of a slice, in order, with their counts in training texts."""
-    cuts = (np.arange(buckets + 1) * ((1 << PAIR_BITS) // buckets)).astype(np.uint64)
-    cuts[-1] = 1 << PAIR_BITS
+    most = 1 << sent.value.pair_bits
+    cuts = np.array([k * most // buckets for k in range(buckets + 1)], dtype=np.uint64)
     cuts <<= np.uint64(SYMBOL_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +476,7 @@ def answers(sent: Broadcast, asked: DataFrame, buckets: int) -> DataFrame:
     themselves, and if so the counts along the path of the word after it."""
 
     def run(table: pa.Table) -> pa.Table:
-        unpack, pack, code = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), sent.value.code
+        unpack, pack, code = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), sent.value.code
         keys, counts = [], []
         for n, data in zip(table.column("n").to_pylist(), table.column("data"), strict=True):
             raw = np.frombuffer(unpack.decompress(data.as_py()), dtype=np.uint8)
@@ -783,9 +785,9 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, least: int = LEAST, sli
     letters = np.append(table_bytes(table) - byte_counts(words, counts), rare)
     voc = vocabulary(list(zip(words, counts.tolist(), strict=True)), n_docs, rare, letters)
     sent = spark.sparkContext.broadcast(voc)
-    coded = spool(coded_slices(sent, docs, slice_bytes), "coded")
+    # Small row groups, so that the few large rows are read by many tasks.
+    coded = spool(coded_slices(sent, docs, slice_bytes), "coded", **{"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4})
     n_slices = coded.count()
-    coded = coded.repartition(split_count(n_slices, 2), "slice")  # small files would be read by few tasks
     model = spark.sparkContext.broadcast(MixingModel(voc, dense_tables(voc, summed(dense_counts(sent, coded))), first_weights()))
     buckets = split_count(coded.agg(F.sum(F.octet_length("data"))).first()[0], bucket)
     told = answers(sent, entries(sent, coded, buckets), buckets)
