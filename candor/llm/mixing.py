@@ -72,7 +72,7 @@ CALM = 100.0
 #: Tokens of texts that go on together (or one longer text).
 TOGETHER = 1 << 15
 #: Bytes of text in a slice, and of coded slices whose pairs make up a bucket.
-SLICE, BUCKET = 3 << 20, 1 << 20
+SLICE, BUCKET = 4 << 20, 1 << 20
 #: Counts from FULL on are given as shares of FULL.
 FULL = 255
 #: Weight of the context-free prediction in that of a short word, and the part of a count that every branch has.
@@ -256,7 +256,7 @@ class Slice:
     def packed(self) -> bytes:
         head = np.array([len(self.sizes), len(self.symbols), len(self.which)], dtype="<i8").tobytes()
         planes = [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes() for a in (self.symbols, self.which)]
-        return zstandard.ZstdCompressor(level=1).compress(head + self.sizes.astype("<i8").tobytes() + self.train.tobytes() + b"".join(planes) + b"\n".join(self.rare))
+        return zstandard.ZstdCompressor(level=3).compress(head + self.sizes.astype("<i8").tobytes() + self.train.tobytes() + b"".join(planes) + b"\n".join(self.rare))
 
     @staticmethod
     def unpacked(data: bytes) -> Slice:
@@ -449,7 +449,7 @@ def entries(sent: Broadcast, coded: DataFrame, buckets: int) -> DataFrame:
     cuts <<= np.uint64(SYMBOL_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for number, data in zip(column(batch, "slice").to_pylist(), column(batch, "data"), strict=True):
                 s = Slice.unpacked(data.as_py())
@@ -476,7 +476,7 @@ def answers(sent: Broadcast, asked: DataFrame, buckets: int) -> DataFrame:
     themselves, and if so the counts along the path of the word after it."""
 
     def run(table: pa.Table) -> pa.Table:
-        unpack, pack, code = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), sent.value.code
+        unpack, pack, code = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6), sent.value.code
         keys, counts = [], []
         for n, data in zip(table.column("n").to_pylist(), table.column("data"), strict=True):
             raw = np.frombuffer(unpack.decompress(data.as_py()), dtype=np.uint8)
@@ -674,7 +674,7 @@ def token_table(docs: DataFrame) -> DataFrame:
     """(word, c): counts of the words of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=4 * SLICE):
             found = pc.value_counts(words_of(column(batch, "text"))[0])
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
 
@@ -707,30 +707,34 @@ def coded_slices(sent: Broadcast, docs: DataFrame, size: int) -> DataFrame:
     """(slice, ids, data): texts as symbols, ``size`` bytes of text or one longer text a row. ``docs`` has doc_id, text, train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(slices(batches, limit=size)):
+        at = TaskContext.get().partitionId() << 36  # slices are numbered by their first text
+        for batch in slices(batches, limit=size):
             s = Slice.of(sent.value, column(batch, "text"), column(batch, "train").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([at + k], pa.int64()), pa.array([column(batch, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([s.packed()], pa.binary())], names=["slice", "ids", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([column(batch, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([s.packed()], pa.binary())], names=["slice", "ids", "data"])
+            at += batch.num_rows
 
     return docs.mapInArrow(run, "slice bigint, ids array<bigint>, data binary")
 
 
 def rare_words(sent: Broadcast, coded: DataFrame) -> DataFrame:
-    """(slice, place, word, n): the words beyond the common ones of each text."""
+    """(text, word): the words beyond the common ones, each time they stand in a text; ``text`` is ``text_number``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(column(batch, "slice").to_pylist(), column(batch, "data"), strict=True):
                 s = Slice.unpacked(data.as_py())
-                text = np.repeat(np.arange(len(s.sizes)), s.sizes)[s.symbols == sent.value.escape]
-                pair, times = np.unique(text * max(1, len(s.rare)) + s.which, return_counts=True)
-                place, word = np.divmod(pair, max(1, len(s.rare)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), number)), pa.array(place.astype(np.int32)), pa.array(s.rare, pa.binary()).take(pa.array(word)), pa.array(times)], names=["slice", "place", "word", "n"])
+                place = np.repeat(np.arange(len(s.sizes)), s.sizes)[s.symbols == sent.value.escape]
+                yield pa.RecordBatch.from_arrays([pa.array(text_number(number, place)), pa.array(s.rare, pa.binary()).take(pa.array(s.which))], names=["text", "word"])
+
+    return coded.select("slice", "data").mapInArrow(run, "text bigint, word binary")
+
 
-    return coded.select("slice", "data").mapInArrow(run, "slice bigint, place int, word binary, n bigint")
+def text_number(number: int, place: np.ndarray) -> np.ndarray:
+    """One number for each text: (task, slice in the task, place in the slice)."""
+    return number + place.astype(np.int64)
 
 
-SCORED = "slice bigint, place int, doc_id bigint, n_tokens bigint, seen bigint, common_log double, score double, bits_per_byte double"
+SCORED = "text bigint, doc_id bigint, n_tokens bigint, seen bigint, common_log double, score double, bits_per_byte double"
 
 
 def scored_slices(model: Broadcast, coded: DataFrame, told: DataFrame, parts: int, stride: int = STRIDE, rate: float = RATE) -> DataFrame:
@@ -755,8 +759,7 @@ def scored_slices(model: Broadcast, coded: DataFrame, told: DataFrame, parts: in
         known = (s.symbols != m.voc.escape) & (m.voc.counts[s.symbols] > 0)
         return pa.table(
             {
-                "slice": pa.array([number] * len(s.sizes), pa.int64()),
-                "place": pa.array(np.arange(len(s.sizes)), pa.int32()),
+                "text": pa.array(text_number(number, np.arange(len(s.sizes)))),
                 "doc_id": table.column("ids")[order[0]].values,
                 "n_tokens": pa.array(s.sizes),
                 "seen": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
@@ -792,9 +795,9 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, least: int = LEAST, sli
     buckets = split_count(coded.agg(F.sum(F.octet_length("data"))).first()[0], bucket)
     told = answers(sent, entries(sent, coded, buckets), buckets)
     scored = scored_slices(model, coded, told, split_count(n_slices, 2), stride, rate)
-    per_text = rare_words(sent, coded).join(table, "word", "left").groupBy("slice", "place").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_seen"))
+    per_text = rare_words(sent, coded).join(table, "word", "left").groupBy("text").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.count("c").alias("rare_seen"))
     norm = float(np.log10(n_tokens + 0.5 * (n_kinds + 1)))
-    return scored.join(per_text, ["slice", "place"], "left").select(
+    return scored.join(per_text, "text", "left").select(
         "doc_id",
         F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"),
         "n_tokens",
