@@ -5,8 +5,7 @@ of ``min_match`` tokens, hashed; sorted arrays join the seeds of a document to
 those of the benchmark, and only pairs that share a seed are tiled. Tiling is
 greedy: the longest match of tokens that no tile covers yet is marked in both
 texts, again and again, until none of ``min_match`` tokens is left. Matches are
-found from rolling Karp-Rabin hashes of token windows, checked token by token,
-and grown along diagonals. As tiles may lie in any order, a passage with its
+found from rolling Karp-Rabin hashes of token windows and checked token by token. As tiles may lie in any order, a passage with its
 sentences moved about is covered as well as a verbatim one. A pair counts as a
 leak when tiles cover ``threshold`` of the item's tokens.
 
@@ -31,12 +30,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from candor.llm.common import column, slices, strings
+from candor.llm.common import KEY, column, same_row, slices, spool, strings, text_key
 
 TOKENS = re.compile(r"[^\W_]+").findall
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LEAKS = "doc_id bigint, item_id bigint, coverage double, tiles int, longest int, item_tokens int"
+LEAKS = "item_id bigint, coverage double, tiles int, longest int, item_tokens int"
 
 
 class TokenHashes(dict):
@@ -65,43 +65,71 @@ def windows(tokens: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def seed_pairs(text: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in text, in item) of equal runs of ``size`` tokens."""
-    a, b = windows(text, size), windows(item, size)
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    n = high - low
-    t = np.repeat(np.arange(len(a)), n)
-    i = order[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    same = np.ones(len(t), dtype=bool)
-    for k in range(size):
-        same &= text[t + k] == item[i + k]
-    return t[same], i[same]
+class Rolling:
+    """Karp-Rabin hashes (modulo 2**64) of the windows of any length of a token array, of which some are marked."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.used = tokens, np.zeros(len(tokens), dtype=bool)
+        step = np.full(len(tokens), BASE, dtype=np.uint64)
+        step[:1] = 1
+        power = np.cumprod(step, dtype=np.uint64)
+        back = np.full(len(tokens), pow(int(BASE), -1, 1 << 64), dtype=np.uint64)
+        back[:1] = 1
+        self.back = np.cumprod(back, dtype=np.uint64)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power, dtype=np.uint64)])
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows without a marked token."""
+        n = len(self.tokens) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marked = np.concatenate([[0], np.cumsum(self.used)])
+        at = np.flatnonzero(marked[size:] == marked[:n])
+        return at, (self.total[at + size] - self.total[at]) * self.back[at]
+
+
+def shared(text: Rolling, item: Rolling, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of free windows in the text that the item has too; places and hashes of the item's, sorted by hash."""
+    at, own = text.free(size)
+    places, seeds = item.free(size)
+    order = np.argsort(seeds, kind="stable")
+    places, seeds = places[order], seeds[order]
+    if not len(seeds):
+        return at[:0], own[:0], places, seeds
+    hit = seeds[np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)] == own
+    return at[hit], own[hit], places, seeds
 
 
 def tile(text: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in text, place in item, length)."""
-    t, i = seed_pairs(text, item, size)
-    used_t, used_i = np.zeros(len(text) + 1, dtype=bool), np.zeros(len(item) + 1, dtype=bool)
-    tiles = []
-    while len(t):
-        order = np.lexsort((t, t - i))
-        t, i = t[order], i[order]
-        new = np.ones(len(t), dtype=bool)
-        new[1:] = (np.diff(t) != 1) | (np.diff(t - i) != 0)
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, len(t))) + size - 1
-        most = length.max()
-        tied = begin[length == most]
-        for k in tied[np.lexsort((i[tied], t[tied]))].tolist():  # those of one length, while still unmarked
-            x, y = int(t[k]), int(i[k])
-            if not (used_t[x : x + most].any() or used_i[y : y + most].any()):
-                used_t[x : x + most] = used_i[y : y + most] = True
-                tiles.append((x, y, int(most)))
-        free_t = np.concatenate([[0], np.cumsum(used_t)])
-        free_i = np.concatenate([[0], np.cumsum(used_i)])
-        alive = (free_t[t + size] == free_t[t]) & (free_i[i + size] == free_i[i])
-        t, i = t[alive], i[alive]
+    """Greedy tiles (place in text, place in item, length). The longest length that both still have is found by halving,
+    since what has a window has all shorter ones; memory is that of the two texts, however often they repeat themselves."""
+    t, i = Rolling(text), Rolling(item)
+    tiles, most = [], min(len(text), len(item))
+    while most >= size and len(shared(t, i, size)[0]):
+        low = size
+        while low < most:
+            middle = (low + most + 1) // 2
+            if len(shared(t, i, middle)[0]):
+                low = middle
+            else:
+                most = middle - 1
+        at, own, places, seeds = shared(t, i, most)
+        begin, end = np.searchsorted(seeds, own, "left").tolist(), np.searchsorted(seeds, own, "right").tolist()
+        next_of: dict[int, int] = {}  # the first place of a hash in the item that may still be free
+        past = -1
+        for x, a, b in zip(at.tolist(), begin, end, strict=True):  # those of one length, while still unmarked
+            if x < past:
+                continue
+            k = next_of.get(a, a)
+            while k < b and i.used[places[k] : places[k] + most].any():
+                k += 1
+            next_of[a] = k
+            if k < b and (text[x : x + most] == item[places[k] : places[k] + most]).all():
+                y = int(places[k])
+                t.used[x : x + most] = i.used[y : y + most] = True
+                tiles.append((x, y, most))
+                past = x + most
+        most -= 1
     return tiles
 
 
@@ -132,26 +160,34 @@ class SeedIndex:
 _INDEX: dict[str, SeedIndex] = {}
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row for each (document, item) with tiles over ``threshold`` of the item: doc_id, item_id, coverage, tiles,
-    longest (tokens of the longest tile), item_tokens."""
+def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20, ids: list[str] | None = None) -> DataFrame:
+    """One row for each (document, item) with tiles over ``threshold`` of the item: doc_id (or the columns ``ids``),
+    item_id, coverage, tiles, longest (tokens of the longest tile), item_tokens."""
+    ids = ids or ["doc_id"]
+    docs = docs.select(*ids, "text")
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
     parts = []
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        parts.append(_leaks_of_block(docs, sorted(map(tuple, block.collect()), key=str), min_match, threshold))
+        parts.append(_leaks_of_block(docs, ids, sorted(map(tuple, block.collect()), key=str), min_match, threshold))
     if not parts:
-        return docs.sparkSession.createDataFrame([], LEAKS)
+        return docs.sparkSession.createDataFrame([], _schema(docs, ids))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _leaks_of_block(docs: DataFrame, items: list[tuple[int, str]], min_match: int, threshold: float) -> DataFrame:
+def _schema(docs: DataFrame, ids: list[str]) -> T.StructType:
+    return T.StructType([*docs.select(*ids).schema.fields, *T.StructType.fromDDL(LEAKS).fields])
+
+
+def _leaks_of_block(docs: DataFrame, ids: list[str], items: list[tuple[int, str]], min_match: int, threshold: float) -> DataFrame:
     sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    types = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+    names = [*ids, "item_id", "coverage", "tiles", "longest", "item_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _INDEX:
@@ -161,25 +197,25 @@ def _leaks_of_block(docs: DataFrame, items: list[tuple[int, str]], min_match: in
         index = _INDEX[key]
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), strings(batch), strict=True):
+            for at, text in enumerate(strings(batch)):
                 tokens = index.hashes.array(TOKENS(text.lower()))
                 for k in index.candidates(tokens).tolist():
                     item = index.tokens[k]
                     tiles = tile(tokens, item, min_match)
                     covered = sum(x[2] for x in tiles) / len(item)
                     if covered >= threshold:
-                        rows.append((doc, index.ids[k], covered, len(tiles), max(x[2] for x in tiles), len(item)))
+                        rows.append((at, index.ids[k], covered, len(tiles), max(x[2] for x in tiles), len(item)))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["doc_id", "item_id", "coverage", "tiles", "longest", "item_tokens"])
+                own = pa.array([r[0] for r in rows])
+                yield pa.RecordBatch.from_arrays([column(batch, c).take(own) for c in ids] + [pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(types)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, LEAKS)
+    return docs.mapInArrow(run, _schema(docs, ids))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that leak an item. The judged text goes with the id, so that a clean row that
-    shares its doc_id with a leaking one stays."""
-    key = F.xxhash64("text")
-    marked = docs.withColumn("_key", key)
-    found = leaks(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, min_match, threshold).select(F.col("doc_id").alias("_leak")).distinct()
-    return marked.withColumn("_pair", F.xxhash64("doc_id", "text")).join(found, F.col("_pair") == F.col("_leak"), "left_anti").drop("_key", "_pair")
+    """``docs`` without the documents that leak an item. A clean row that shares its doc_id with a leaking one stays, as
+    rows are named by id and text. Texts don't move: the list of ids and hashes is broadcast by Spark if its file is
+    small, and shuffled otherwise."""
+    rows = docs.select(docs["doc_id"].alias(KEY[0]), *[c.alias(k) for k, c in zip(KEY[1:], text_key(docs), strict=True)], "text")
+    found = spool(leaks(rows, benchmark, min_match, threshold, ids=KEY).select(*KEY).distinct(), "leaks")
+    return docs.join(found, same_row(docs, found), "left_anti")

@@ -1,12 +1,13 @@
 """Token-id packing into fixed-length training rows.
 
 Documents are encoded, cut losslessly into pieces of at most ``length`` tokens,
-dealt to shards by a hash of (document, piece), and packed shard by shard with
+dealt to shards by a hash of (document, piece, ids), and packed shard by shard with
 best-fit-decreasing. A segment tree over residual capacities answers "the
 fullest row that still has room" in log(length) steps. The number of shards
 follows the bytes of the corpus, so a shard stays of one size however large
-the corpus is, and no single document or source can fill one: its pieces are
-spread.
+the corpus is, and no single document or source can fill one, nor the rows of one
+null or repeated doc_id: their pieces are spread by what they hold. With few shards (a small
+corpus) the largest may hold twice the median.
 
 A packed row holds the id matrix row (padded with ``pad``), the cumulative
 segment lengths, the position ids that restart at every segment, and for each
@@ -137,7 +138,7 @@ def pack_documents(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_
         )
 
     cut = docs.mapInArrow(pieces, "doc_id bigint, piece int, length int, ids binary")
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(pack, PACKED)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import column, slices, split_count, spool, strings
+from candor.llm.common import KEY, column, same_row, slices, split_count, spool, strings, text_key
 
 SEED = 42
 #: Fingerprints of a tile that are compared with a tile at once.
@@ -66,7 +66,7 @@ def fingerprint(hashes: list[int]) -> int:
 
 def with_fingerprints(docs: DataFrame, size: int = 3, text: str = "text", name: str = "simhash") -> DataFrame:
     """``docs`` without the text, with a long ``name``: the 64 bits, read as signed."""
-    kept = [c for c in docs.columns if c.lower() not in {name, text.lower()}]
+    kept = [c for c in docs.columns if c.lower() not in {name.lower(), text.lower()}]
     df = docs.select(*[F.col(f"`{c}`") for c in [*kept, text]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +200,35 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
 
 
 def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """``docs`` (with doc_id, text) without the rows that a row of their group with a smaller doc_id
-    stands for; of rows with one doc_id the first by text stays. Rows with a null doc_id stay."""
-    found = near_duplicates(docs, radius, size).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id") != F.col("component_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_id"], "left_anti").transform(_first_of_id)
-
-
-def _first_of_id(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = [F.xxhash64("text"), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]]
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])).otherwise(F.lit(0))
-    ranked = docs.withColumn("_own", own).withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_own", "_rank")
+    """``docs`` (with doc_id, text) without the rows that another row of their group stands for: the one of the smallest
+    doc_id stays (null ids last), of rows with one doc_id the one whose text has the smallest hash, of equal texts under
+    one id the first by the other columns. Texts don't move: what goes is a list of ids and hashes, which Spark
+    broadcasts if its file is small and shuffles otherwise."""
+    rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in zip(KEY[1:], text_key(docs), strict=True)])
+    prints = spool(with_fingerprints(rows, size).withColumnRenamed("doc_id", "_id"), "prints")
+    placed = spool(_placed(prints, radius), "placed")
+    name = F.struct(F.col("_id").isNull(), *KEY)
+    # Of one fingerprint, then of the whole group: a group's first row is found by partial sums.
+    first = prints.groupBy("simhash").agg(F.min(name).alias("first")).join(placed, "simhash")
+    kept = first.groupBy("root").agg(F.min("first").alias("first"))
+    named = prints.groupBy("simhash", *KEY).agg(F.count("*").alias("n")).join(placed, "simhash").join(kept, "root")
+    marked = spool(named.select(*KEY, (name == F.col("first")).alias("stays"), "n").where("not stays or n > 1"), "marked")
+    # The list is read anew for each use, so that its size is that of its own file.
+    gone = spool(marked.select(*KEY), "gone")
+    out = docs.join(gone, same_row(docs, gone), "left_anti")
+    again = marked.where("stays").select(*KEY)
+    if again.isEmpty():
+        return out
+    again = spool(again, "again")
+    rest = docs.join(again, same_row(docs, again), "left_semi")
+    # One of the rows that repeat an id and text, by partial sums too.
+    whole = F.struct(*[rest[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    one = rest.groupBy(rest["doc_id"].alias("_id"), *[c.alias(k) for k, c in zip(KEY[1:], text_key(rest), strict=True)]).agg(F.min_by(whole, F.xxhash64(*[rest[f"`{c}`"].cast("string") for c in docs.columns])).alias("row"))
+    return out.unionByName(one.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]))
+
+
+def _placed(prints: DataFrame, radius: int) -> DataFrame:
+    """(simhash, root) of every different fingerprint."""
+    distinct = prints.select("simhash").distinct()
+    roots = components(links(distinct, radius))
+    return distinct.join(roots, distinct["simhash"] == roots["node"], "left").select("simhash", F.coalesce("root", "simhash").alias("root"))

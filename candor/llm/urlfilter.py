@@ -2,8 +2,9 @@
 
 A list holds canonical URLs, (host, path) with a verdict; an entry stands for
 its host with all subdomains and every path that starts with its own. A URL is
-expanded to the entries that could fit it: each suffix of its host with each
-prefix of its path of a length that some entry has. Every expansion is probed
+expanded to the entries that could fit it: each suffix of its host that is
+listed (only those with as many labels as some listed host) with each
+prefix of its path of a length that this host's entries have. Every expansion is probed
 in a blocked Bloom filter: one 64-bit word per block, in which an entry sets a
 few bits, so a probe reads one word. What the filter passes goes on to an exact
 hash join with the list, which removes the false positives; nothing that is
@@ -73,23 +74,26 @@ def judge(pages: DataFrame, rules: DataFrame, broadcast_bytes: int = 16 << 20) -
         .agg(F.min("verdict").alias("verdict"))
         .select(F.concat("host", "path").alias("rule"), "verdict", F.length("path").alias("n"), F.length("host").alias("h"))
     )
-    known = listed.agg(F.count("*").alias("c"), F.sort_array(F.collect_set("n")).alias("lengths"), F.sum(F.octet_length("rule") + 48).alias("bytes")).first()
+    known = listed.agg(F.count("*").alias("c"), F.sum(F.octet_length("rule") + 48).alias("bytes")).first()
     parsed = with_parts(pages.select("page_id", "url")).select("page_id", "url", "host", "path")
     if not known["c"]:
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     filter_, blocks = bloom(listed, "rule", known["c"])
     if blocks * 16 <= broadcast_bytes:
         filter_ = F.broadcast(filter_)
+    # Listed hosts with the lengths of their paths, and how many labels listed hosts have: what a URL is expanded to.
+    hosts = listed.groupBy(F.left("rule", "h").alias("suffix")).agg(F.collect_set("n").alias("lengths"))
+    sizes = [r["k"] for r in hosts.select(F.size(F.split("suffix", r"\.")).alias("k")).distinct().collect()]
     if known["bytes"] <= broadcast_bytes:
-        listed = F.broadcast(listed)
+        listed, hosts = F.broadcast(listed), F.broadcast(hosts)
     # Each different (host, path) is judged once; the pages of a hot site don't meet in one task.
     urls = parsed.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    lengths = F.filter(F.array(*[F.lit(n) for n in known["lengths"]]), lambda n: n <= F.length("path"))
-    prefixes = F.transform(lengths, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    tried = urls.select("host", "path", F.explode(keys).alias("key"))
+    fitting = F.filter(F.array(*[F.lit(k) for k in sorted(sizes)]), lambda k: k <= F.size(labels))
+    suffixes = F.transform(fitting, lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    ends = urls.select("host", "path", F.explode(suffixes).alias("suffix")).join(hosts, "suffix")
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tried = ends.select("host", "path", F.explode(F.transform(prefixes, lambda p: F.concat("suffix", p))).alias("key"))
     passed = tried.withColumn("block", block_of(F.col("key"), blocks)).join(filter_, "block").where(F.col("word").bitwiseAND(mask_of(F.col("key"))) == mask_of(F.col("key")))
     exact = passed.select("host", "path", "key").join(listed, F.col("key") == F.col("rule"))
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "h", F.when(F.col("verdict") == "allow", 1).otherwise(0))).alias("best"))

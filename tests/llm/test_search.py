@@ -96,7 +96,14 @@ def test_tiles_against_plain_search():
     rng = np.random.default_rng(6)
     for _ in range(60):
         text, item = rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint64), rng.integers(0, 3, rng.integers(0, 20)).astype(np.uint64)
-        assert sum(n for *_, n in decontaminate.tile(text, item, 3)) == sum(n for *_, n in plain_tiles(text.tolist(), item.tolist(), 3))
+        assert decontaminate.tile(text, item, 3) == plain_tiles(text.tolist(), item.tolist(), 3)
+
+
+def test_tiles_of_texts_that_repeat_themselves():
+    """Memory is that of the texts; all pairs of seeds would be 500 million."""
+    assert decontaminate.tile(np.full(1_000_000, 7, np.uint64), np.full(500, 7, np.uint64), 5) == [(0, 0, 500)]
+    parts = decontaminate.tile(np.full(1000, 7, np.uint64), np.array([7] * 9 + [8] + [7] * 6, np.uint64), 5)
+    assert parts == [(0, 0, 9), (9, 10, 6)]
 
 
 def test_leaks(spark):
@@ -112,6 +119,9 @@ def test_leaks(spark):
         assert set(got) == {(1, 10), (2, 10), (7, 10), (8, 11), (9, 10)} and got[2, 10] == 2
     kept = sorted((r["doc_id"], r["text"] is None) for r in decontaminate.without_leaks(docs, bench).collect())
     assert [k for k, _ in kept] == [3, 4, 5, 6, 8]
+    named = docs.selectExpr("*", "'x' as item_id", "'y' as coverage", "1 as tiles", "2 as _id", "3 as _hash")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(named, bench).collect()} == set(got)
+    assert decontaminate.without_leaks(named, bench).columns == named.columns and decontaminate.without_leaks(named, bench).count() == 5
     assert decontaminate.leaks(docs, bench.where("item_id < 0")).count() == 0 and decontaminate.leaks(docs.where("doc_id < 0"), bench).count() == 0
 
 
@@ -134,6 +144,15 @@ def test_url_rules_against_sql(spark):
     assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")} and len(none) == len(URLS)
 
 
+def test_long_urls_repeats_and_no_pages(spark):
+    deep = "a." * 3000 + "example.org"
+    rows = [(1, f"http://{deep}/es/{'x' * 50000}"), (2, f"http://{deep}/en/2"), (2, f"http://{deep}/en/2"), (3, "http://example.org/" + "es/" * 20000)]
+    pages = spark.createDataFrame([(*r, "r", "v") for r in rows], "page_id long, url string, rule string, verdict string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, urlfilter.rule_table(spark, urlfilter.RULES)).collect())
+    assert got == [(1, "example.org/es/", "block"), (2, "org/", "allow"), (2, "org/", "allow"), (3, "example.org/es/", "block")]
+    assert urlfilter.judge(pages.where("page_id < 0"), urlfilter.rule_table(spark, urlfilter.RULES)).count() == 0
+
+
 def test_filter_has_no_false_negatives(spark):
     from pyspark.sql import functions as F
 
@@ -144,22 +163,43 @@ def test_filter_has_no_false_negatives(spark):
     assert probe(spark.range(2000, 12000).select(F.concat(F.lit("k"), "id").alias("key"))) < 2000
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("n, block", [(500, 1000), (3000, 1000)])
+def test_neighbours(spark, n, block):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, x[0].tolist()), (3001, None), (3002, [0.0] * 16), (3003, [float("nan")] * 16), (3004, [None] * 16), (3005, [1.0] * 4), (100, x[100].tolist())]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = rng.normal(size=(n, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n, x[0].tolist()), (n + 1, None), (n + 2, [0.0] * 16), (n + 3, [float("nan")] * 16), (n + 4, [None] * 16), (n + 5, [1.0] * 4), (100, x[100].tolist())]
+    rows = [(*r, "q", "b", 1, 2.0, "v") for r in rows]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query string, block string, rank int, score double, vector string")
     q = v.where("vec_id % 100 = 0")
-    got = [tuple(r) for r in collision_ann.nearest(v, q, block=1000).collect()]
+    got = [tuple(r)[:4] for r in collision_ann.nearest(v, q, block=block).collect()]
     want = collision_ann.brute_force(v, q)
     found = {(a, c) for a, _, c, _ in got}
     assert sum((a, c) in found for a, _, c, _ in want) / len(want) >= 0.9
-    assert (0, 1, 3000, 0.0) in got and all(r[0] != r[2] for r in got) and max(r[1] for r in got) == 10
+    # The copy under another id, and the row that repeats in whole, are neighbours; the own row is none.
+    assert (0, 1, n, 0.0) in got and (100, 1, 100, 0.0) in got and sum(r[0] == r[2] for r in got) == 1 and max(r[1] for r in got) == 10
     few = collision_ann.nearest(v.where("vec_id < 4"), v.where("vec_id = 0")).collect()
     assert [r["rank"] for r in sorted(few)] == [1, 2, 3]
     assert collision_ann.nearest(v.where("vec_id < 0"), q.where("vec_id < 0")).count() == 0
 
 
+def test_neighbours_of_huge_components_and_shared_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    rows += [(300, [3e38] * 8), (301, [-3e38] * 8), (400, [1e307] * 8), (401, [-1e307, *[1e307] * 7]), (500, [1e-300] * 8), (100, [0.5] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 100 = 0")
+    got = collision_ann.nearest(v, q, block=100).collect()
+    want = collision_ann.brute_force(v, q)
+    assert len(got) == len(want) == 70  # two rows of id 100 ask
+    assert sum(r in [tuple(g)[:4] for g in got] for r in want) / len(want) >= 0.9
+    assert len({r["vector"] for r in got if r["query_id"] == 100}) == 2
+    # With few candidates each row of id 100 finds the other, and not itself.
+    few = collision_ann.nearest(v.where("vec_id in (100, 7)"), q.where("vec_id = 100")).collect()
+    assert sorted((r["vec_id"], r["score"] > 0) for r in few) == [(7, True), (7, True), (100, True), (100, True)]
+    far = sorted(tuple(r)[:4] for r in got if r["query_id"] == 400)
+    assert far[0][2:] == (401, pytest.approx(2e307)) and far[-1][3] == pytest.approx(8**0.5 * 1e307)
+
+
 def test_components_that_have_not_settled_are_an_error(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
     assert {(r["node"], r["root"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 13)}

@@ -122,3 +122,20 @@ def test_attribution_against_byte_by_byte(spark, library, rule):
             else:
                 want[max(sorted(set(over)), key=over.count)] += 1
         assert [r["n_tokens"] for r in got[i]] == pytest.approx(want)
+
+
+def test_packing_of_repeats_and_null_ids(spark, library):
+    rows = [(None, "one two three " * 40)] * 3 + [(7, "four five " * 30)] * 2 + [(None, "six"), (7, "seven"), (8, None)]
+    docs = spark.createDataFrame([(*r, "s", 1, b"x") for r in rows], "doc_id long, text string, shard string, piece int, ids binary")
+    pieces = packing.unpack(packing.pack_documents(docs, length=64, shard_bytes=200)).collect()
+    got = sorted((str(r["doc_id"]), r["piece"], np.frombuffer(r["ids"], "<u4").tolist()) for r in pieces)
+    ids = [(i, library.encode_ordinary(t or "")) for i, t in rows]
+    want = sorted((str(i), k, whole[k * 64 : k * 64 + 64]) for i, whole in ids for k in range(-(-len(whole) // 64)))
+    assert got == want
+
+
+def test_attribution_of_repeats_no_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b\nc", "x", 1, 2), (1, "a b\nc", "x", 1, 2), (None, "a", "x", 1, 2)], "doc_id long, text string, section string, n_tokens int, char_start int")
+    got = sorted((str(r["doc_id"]), r["section"], r["n_tokens"]) for r in attribution.token_counts(docs).collect())
+    assert len(got) == 5 and got[0] == got[1] and got[2] == got[3]
+    assert attribution.token_counts(docs.where("doc_id < 0")).count() == 0
