@@ -74,35 +74,46 @@ def rescaled_rating(value: str | Column, most: str | Column) -> Column:
 
 
 def availability(c: str | Column) -> Column:
-    """True, false or unknown by the first rule that fits: out, then orderable, then in."""
-    t = F.regexp_replace(F.lower(col(c)), r"[^a-z]", "")
+    """True, false or unknown by the first rule that fits the last part of an address or words: out, then orderable
+    later (unknown), then in (F9)."""
+    t = F.regexp_replace(F.lower(F.element_at(F.split(col(c), "/"), -1)), r"[^a-z]", "")
     has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
     return (
         F.when(has("outofstock", "soldout", "unavailable", "discontinued", "notavailable"), False)
-        .when(has("preorder", "backorder"), True)
+        .when(has("preorder", "presale", "backorder"), F.lit(None).cast("boolean"))
         .when(has("instock", "limitedavailability", "instoreonly", "onlineonly", "available"), True)
     )
 
 
 def clean_brand(c: str | Column) -> Column:
     """Without "Visit the ... Store" and "Brand:" (F10)."""
-    return clean(F.regexp_replace(F.regexp_replace(col(c), r"(?i)^\s*(?:visit the|brand\s*:)\s*", ""), r"(?i)\s+store\s*$", ""))
+    inner = F.regexp_replace(F.regexp_replace(clean(c), r"(?i)^(?:visit the|brand:?)\s*", ""), r"(?i)\s+store$", "")
+    return F.nullif(F.btrim(inner, F.lit(" -|:")), F.lit(""))
+
+
+#: Titles that are templates or walls, and what shops put around a name (fixed values).
+PLACEHOLDER_TITLE = r"(?i)\b(?:undefined|null|nan)\b|^\W*(?:home|loading|just a moment|404|page not found)\W*$"
+SEPARATORS = r"\-|–—"
 
 
 def clean_title(c: str | Column, site: str | Column | None = None) -> Column:
     """A title without its site name and shop talk; placeholders are null."""
-    t = clean(c)
+    whole = clean(c)
+    t = whole
     if site is not None:
-        s = F.lower(col(site))
-        n = F.length(s)
-        tail = F.lower(t).endswith(F.concat(F.lit(" "), s))
-        t = F.when(tail, F.regexp_replace(F.left(t, F.length(t) - n), r"[\s|:\-–]+$", "")).otherwise(t)
-        head = F.lower(t).startswith(F.concat(s, F.lit(" ")))
-        t = F.when(head, F.regexp_replace(F.substring(t, n + 1, F.length(t)), r"^[\s|:\-–]+", "")).otherwise(t)
-    t = F.regexp_replace(t, r"(?i)^(?:buy|shop)\s+", "")
-    short = F.regexp_replace(t, r"(?i)\s+(?:online|at best price).*$", "")
-    t = F.when(F.length(short) >= 8, short).otherwise(t)
-    return F.when(~F.lower(t).isin("product", "untitled", "home", "loading", "access denied", "page not found"), clean(t))
+        # The site's name with a separator, at either end, is cut by length: it is data, not a pattern.
+        name = F.lower(clean(site))
+        n = F.length(name)
+        edge = rf"[{SEPARATORS}:]"
+        inner = F.rtrim(F.left(t, F.length(t) - n))
+        t = F.when(F.lower(t).endswith(name) & inner.rlike(edge + "$"), F.rtrim(F.left(inner, F.length(inner) - 1))).otherwise(t)
+        rest = F.ltrim(F.substring(t, n + 1, F.length(t)))
+        t = F.when(F.lower(t).startswith(name) & rest.rlike("^" + edge), F.ltrim(F.substring(rest, F.lit(2), F.length(rest)))).otherwise(t)
+        t = F.coalesce(t, whole)
+    t = F.regexp_replace(t, rf"(?i)\s*[{SEPARATORS}]\s*(?:buy|shop)\b.*$", "")
+    named = F.regexp_extract(t, r"(?i)^(.{8,}?)\s+online\b.{0,50}$", 1)
+    t = F.when(named != "", F.regexp_replace(named, r"(?i)^\s*buy\s+(?=\S)", "")).otherwise(t)
+    return F.when(~whole.rlike(PLACEHOLDER_TITLE), F.nullif(F.btrim(t, F.lit(" -|:")), F.lit("")))
 
 
 def folded(c: str | Column) -> Column:
@@ -136,14 +147,14 @@ def word_count(c: str | Column) -> Column:
 
 
 def latin_share(c: str | Column) -> Column:
-    """Share of A-Z among the letters; null without letters."""
+    """Share of A-Z among the letters; 0 without letters."""
     letters = F.length(F.regexp_replace(col(c), r"\P{L}", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(col(c), r"[^A-Za-z]", "")) / letters)
+    return F.when(letters > 0, F.length(F.regexp_replace(col(c), r"[^A-Za-z]", "")) / letters).otherwise(0.0)
 
 
-def latin_gate(c: str | Column, share: float = 0.9, least_words: int = 5) -> Column:
+def latin_gate(c: str | Column, share: float = 0.9, least_words: int = 6) -> Column:
     """Whether the text model may judge a text: Latin and long enough."""
-    return F.coalesce(latin_share(c) >= share, F.lit(False)) & (word_count(c) >= least_words)
+    return F.coalesce((latin_share(c) >= share) & (word_count(c) >= least_words), F.lit(False))
 
 
 def hits(c: Column, lexicon: Sequence[str]) -> Column:

@@ -12,14 +12,23 @@ from candor.functions import text as tx
 #: Lexicons and phrases of ordinary English and Hindi reviews (fixed values).
 POSITIVE = ("great", "excellent", "amazing", "good", "awesome", "perfect", "love", "best", "superb", "nice", "original", "authentic")
 NEGATIVE = ("defective", "stopped working", "heating", "terrible", "worst", "torn", "faded", "bad", "useless", "kharab", "bekar", "bakwas", "duplicate", "fake", "broken", "damaged", "return")
-PROMOTION = r"(best product ever|buy fast|must buy now|cheap price good|good good|amazing wow|100% working|guaranteed result|super fast delivery buy now|seller is great buy this|5 star product best quality|super amazing seller|ekdum mast product|bahut badhiya|ek number saaman)"
+PROMOTION = (
+    r"\b(?:best product ever|buy fast|must buy now|cheap price good|good good|amazing wow)\b",
+    r"\b(?:100% working|guaranteed result|super fast delivery buy now)\b",
+    r"\b(?:seller is great buy this|5 star product best quality buy)\b",
+    r"\b(?:5 star product best quality|super amazing seller)\b",
+    r"\b(?:ekdum mast product|bahut badhiya|ek number saaman)\b",
+)
 
 
-def rule_findings(reviews: DataFrame, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE, promotion: str = PROMOTION) -> DataFrame:
+def rule_findings(reviews: DataFrame, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE, promotion: Sequence[str] = PROMOTION) -> DataFrame:
     """Reviews (text, rating, near_duplicate) with sentiment, suspicion, signals, classification, confidence and risk (M2)."""
     s, n = F.col("sentiment"), F.col("n_words")
     signal = lambda on, name: F.when(F.coalesce(on, F.lit(False)), F.lit(name))
-    is_promo = F.lower("text").rlike(promotion)
+    low = F.lower("text")
+    is_promo = F.lit(False)
+    for rule in promotion:
+        is_promo = is_promo | low.rlike(rule)
     overrated, underrated = (F.col("rating") >= 4) & (s <= -0.4), (F.col("rating") <= 2) & (s >= 0.5)
     praise = (n <= 4) & (F.col("rating") == 5) & (s > 0.5)
     points = lambda on, x: F.when(F.coalesce(on, F.lit(False)), F.lit(x)).otherwise(F.lit(0.0))
@@ -37,12 +46,23 @@ def rule_findings(reviews: DataFrame, positive: Sequence[str] = POSITIVE, negati
 
 
 def merge_model(findings: DataFrame, threshold: float = 0.8355, floor: float = 0.9, genuine_at: float = 0.045) -> DataFrame:
-    """Findings with the text model's ``probability`` (null: rules alone) merged in (M3)."""
+    """Findings with the text model's ``probability`` (null: rules alone) merged in (M3): what the rules suspect stays
+    suspected, the model alone may suspect from max(threshold, floor) on and clear what has no signal up to
+    ``genuine_at``. Signals gain the model's line, with the highest confidences 0.95 and 0.9."""
     p, flag = F.col("probability"), max(threshold, floor)
     rule = F.col("classification") == "suspicious"
-    kind = F.when(p.isNull() | rule, F.col("classification")).when(p >= flag, "suspicious").when((p <= genuine_at) & (F.size("signals") == 0), "genuine-looking").otherwise("needs-review")
-    confidence = F.when(p.isNull(), F.col("confidence")).when(rule, F.greatest("confidence", F.when(p >= flag, F.round(p, 2)).otherwise(F.lit(0.0)))).when(p >= flag, F.round(p, 2)).when((p <= genuine_at) & (F.size("signals") == 0), F.round(1 - p, 2)).otherwise(0.45)
-    return findings.withColumns({"detector": F.when(p.isNull(), "rules").otherwise("ml+rules"), "_k": kind, "_c": confidence}).drop("classification", "confidence").withColumnsRenamed({"_k": "classification", "_c": "confidence"})
+    percent = F.concat(F.lit("Text model: "), F.format_string("%.0f", F.bround(p * 100, 0)), F.lit("%"))
+    at = lambda flagged, kept, cleared, other, rules: F.when(p.isNull(), rules).when(p >= flag, flagged).when(rule, kept).when((p <= genuine_at) & (F.size("signals") == 0), cleared).otherwise(other)
+    own, line = F.col("signals"), lambda end: F.concat(F.col("signals"), F.array(F.concat(percent, F.lit(end))))
+    return findings.withColumns(
+        {
+            "detector": F.when(p.isNull(), "rules").otherwise("ml+rules"),
+            "classification": at(F.lit("suspicious"), F.col("classification"), F.lit("genuine-looking"), F.lit("needs-review"), F.col("classification")),
+            "confidence": at(F.greatest(F.when(rule, F.col("confidence")).otherwise(0.0), F.least(F.lit(0.95), F.round(p, 2))), F.col("confidence"), F.least(F.lit(0.9), F.round(1 - p, 2)), F.lit(0.45), F.col("confidence")),
+            "risk": at(F.when(p >= 0.95, "high").otherwise("medium"), F.col("risk"), F.lit("low"), F.lit("medium"), F.col("risk")),
+            "signals": at(line(" alike to generated reviews"), line(" alike, below the flag"), line(" alike only"), line(" alike, inconclusive"), own),
+        }
+    )
 
 
 def two_way_verdict(classification: Column, confidence: Column, probability: Column) -> Column:

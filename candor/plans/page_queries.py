@@ -24,40 +24,65 @@ _PICK = lambda tag: CLEAN(UNESCAPED(rf"regexp_replace(regexp_extract(html, '(?is
 HEADING = f"SELECT page_id, coalesce(CASE WHEN length({_PICK('h1')}) >= 6 THEN {_PICK('h1')} END, CASE WHEN length({_PICK('title')}) >= 6 THEN {_PICK('title')} END) AS heading FROM pages"
 
 
-def page_wall_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a made-up status by id; some texts hold the words of a wall."""
-    status = F.when(F.col("page_id") % 17 == 0, 403).when(F.col("page_id") % 23 == 0, 500).otherwise(200)
-    return src.table(spark, sf_dir, "pages").select("page_id", F.coalesce(extract.wall(status, F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("Please log in. "), extract.page_text("html"))).otherwise(extract.page_text("html"))), F.lit("open")).alias("wall"))
+VISIBLE_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-WALL = r"""
-WITH t AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Please log in. ' ELSE '' END || trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t,
-           CASE WHEN page_id % 17 = 0 THEN 403 WHEN page_id % 23 = 0 THEN 500 ELSE 200 END AS status FROM pages)
-SELECT page_id, CASE WHEN status >= 400 THEN 'http_' || status WHEN regexp_matches(lower(left(t, 900)), '(access denied|are you a robot|captcha|unusual traffic|verify you are human)') THEN 'blocked'
-  WHEN regexp_matches(lower(left(t, 600)), '(please (log|sign) in|login to continue|sign in to continue)') THEN 'login' ELSE 'open' END AS wall FROM t
+def page_wall_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a made-up status by id; some texts begin with the words of a wall or are cut short."""
+    k = F.col("page_id")
+    status = F.when(k % 17 == 0, 403).when(k % 23 == 0, 500).when(k % 29 == 0, 404).otherwise(200)
+    lead = F.when(k % 5 == 0, "Please log in to continue. ").when(k % 7 == 0, "Robot check: enter the characters you see. ").otherwise("")
+    text = F.concat(lead, F.when(k % 2 == 0, F.left(extract.page_text("html"), F.lit(700))).otherwise(extract.page_text("html")))
+    return src.table(spark, sf_dir, "pages").select("page_id", F.coalesce(extract.wall(status, text), F.lit("open")).alias("wall"))
+
+
+WALL = rf"""
+WITH v AS (SELECT page_id, {VISIBLE_SQL} AS v, CASE WHEN page_id % 17 = 0 THEN 403 WHEN page_id % 23 = 0 THEN 500 WHEN page_id % 29 = 0 THEN 404 ELSE 200 END AS status FROM pages),
+t AS (SELECT page_id, status, left(CASE WHEN page_id % 5 = 0 THEN 'Please log in to continue. ' WHEN page_id % 7 = 0 THEN 'Robot check: enter the characters you see. ' ELSE '' END || CASE WHEN page_id % 2 = 0 THEN left(v, 700) ELSE v END, 2500) AS t FROM v)
+SELECT page_id, CASE WHEN regexp_matches(lower(t), 'captcha|access denied|are you a robot|unusual traffic|verify you are human|robot check|enter the characters you see|request blocked|pardon our interruption|checking your browser') AND length(t) < 2500 THEN 'blocked'
+  WHEN status IN (401, 403, 429) THEN 'blocked' WHEN status >= 400 THEN 'http_' || status
+  WHEN regexp_matches(lower(left(t, 600)), '\b(?:sign in|log in|login)\b.{{0,60}}\b(?:to continue|to view|to see|required)\b') AND length(t) < 900 THEN 'login' ELSE 'open' END AS wall FROM t
 """
 
 
 def page_link_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as links of a listing that has the page's title, but every seventh that of another product."""
-    p = src.table(spark, sf_dir, "pages").withColumns({"status": F.when(F.col("page_id") % 13 == 0, 404).when(F.col("page_id") % 11 == 0, 503).otherwise(200), "title": F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)})
-    listing = F.when(F.col("page_id") % 7 == 0, "quartz lantern kettle").otherwise(F.col("title"))
-    final = F.when(F.col("page_id") % 19 == 0, F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1), F.lit("/"))).otherwise(F.col("url"))
-    return p.select("page_id", extract.link_state(F.col("status"), "url", final, extract.page_text("html"), "title", listing).alias("s")).select("page_id", "s.state", "s.reason")
+    """Pages as links of a listing, with status, address, markup and listing made by id so that every rule is met."""
+    k = F.col("page_id")
+    tag = lambda t: F.regexp_extract("html", rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1)
+    status = F.when(k % 13 == 0, 404).when(k % 11 == 0, 503).when(k % 31 == 0, 418).when(k % 37 == 0, 302).when(k % 41 == 0, 202).otherwise(200)
+    site = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
+    final = F.when(k % 19 == 0, F.concat(site, F.lit("/"))).when(k % 17 == 0, F.concat(site, F.lit("/search/x?q=1"))).otherwise(F.col("url"))
+    title = F.when(k % 23 == 0, "Just a moment...").when(k % 29 == 0, "Oops! Page not found").otherwise(tag("title"))
+    listing = F.when(k % 7 == 0, "Buy Quartz Lantern Kettle 2l online").when(k % 7 == 1, F.lit(None).cast("string")).otherwise(tag("title"))
+    names = F.when(k % 14 == 0, F.array(F.lit("quartz lantern"))).otherwise(F.array().cast("array<string>"))
+    p = src.table(spark, sf_dir, "pages")
+    return p.select("page_id", extract.link_state(status, "url", final, title, F.lit(None).cast("string"), tag("h1"), names, k % 3 == 0, listing).alias("s")).select("page_id", "s.state", "s.reason")
 
 
-WORDS_SQL = lambda x: f"list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+_TAG = lambda t: f"regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)"
+_BARE = lambda u: f"regexp_replace({PATH_SQL.replace('url', u)}, '/+$', '')"
+_NAMED = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('buy', 'online', 'price', 'best', 'india', 'offers', 'with', 'and', 'the', 'for', 'new', 'from', 'free', 'delivery'))"
+_VERIFY = "captcha|robot check|are you a (?:human|robot)|access denied|just a moment|attention required|security check|unusual traffic|verify you are|request blocked|forbidden"
+_MISSING = r"\b(?:404|page not found|not found|page (?:does ?n[o'']t|does not) exist|no longer (?:exists?|available on)|(?:can['' ]?t|could ?n[o'']t|cannot) (?:find|be found)|looking for (?:is )?(?:not|no longer)|link (?:is )?(?:broken|expired)|oops|something went wrong|product (?:is )?(?:removed|discontinued|not found))\b"
+_LIST = "/(?:search|s|c|category|categories|collections?|shop|browse|list|listing|catalog|results)(?:/|$)"
 LINK = rf"""
-WITH a AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t,
-  CASE WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 11 = 0 THEN 503 ELSE 200 END AS status, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages),
-b AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN 'quartz lantern kettle' ELSE title END AS listing, page_id % 19 = 0 AND length({PATH_SQL}) > 1 AS home, lower(left(t, 2500)) AS low FROM a),
-want_all AS (SELECT page_id, w, i FROM (SELECT page_id, unnest(regexp_extract_all(lower(listing), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(listing), '[a-z0-9]+'), 1) AS i FROM b) WHERE length(w) > 2),
-want AS (SELECT page_id, list(w) AS ws FROM (SELECT page_id, w, min(i) AS i FROM want_all GROUP BY page_id, w QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(i)) <= 3) GROUP BY page_id),
-c AS (SELECT b.*, coalesce(ws, []) AS ws, len(list_intersect(coalesce(ws, []), {WORDS_SQL("b.title || ' ' || b.low")})) AS shared FROM b LEFT JOIN want USING (page_id))
-SELECT page_id, CASE r WHEN 'not found' THEN 'dead' WHEN 'refused' THEN 'unchecked' WHEN 'redirected to the front page' THEN 'dead' WHEN 'wall' THEN 'unchecked' WHEN 'says not found' THEN 'dead' WHEN 'another product' THEN 'dead' ELSE 'ok' END AS state, r AS reason
-FROM (SELECT page_id, CASE WHEN status IN (404, 410) THEN 'not found' WHEN status IN (401, 403, 429) OR status >= 500 THEN 'refused' WHEN home THEN 'redirected to the front page'
-  WHEN regexp_matches(left(low, 900), '(access denied|are you a robot|captcha|unusual traffic|verify you are human)') OR regexp_matches(left(low, 600), '(please (log|sign) in|login to continue|sign in to continue)') THEN 'wall'
-  WHEN regexp_matches(low, '(page not found|no longer available|product not found|doesn''t exist|404 error)') THEN 'says not found' WHEN len(ws) > 0 AND shared < least(2, len(ws)) THEN 'another product' ELSE 'reads as the product' END AS r FROM c)
+WITH a AS (SELECT page_id AS k, url, CASE WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 11 = 0 THEN 503 WHEN page_id % 31 = 0 THEN 418 WHEN page_id % 37 = 0 THEN 302 WHEN page_id % 41 = 0 THEN 202 ELSE 200 END AS status,
+  CASE WHEN page_id % 19 = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' WHEN page_id % 17 = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/search/x?q=1' ELSE url END AS landed,
+  CASE WHEN page_id % 23 = 0 THEN 'Just a moment...' WHEN page_id % 29 = 0 THEN 'Oops! Page not found' ELSE {_TAG("title")} END AS title, {_TAG("h1")} AS h1,
+  CASE page_id % 7 WHEN 0 THEN 'Buy Quartz Lantern Kettle 2l online' WHEN 1 THEN '' ELSE {_TAG("title")} END AS listing, CASE WHEN page_id % 14 = 0 THEN 'quartz lantern' ELSE '' END AS named, page_id % 3 = 0 AS declared FROM pages),
+b AS (SELECT *, {_BARE("url")} <> {_BARE("landed")} AS moved, list_distinct({_NAMED("title || ' ' || h1 || ' ' || named")}) AS seen, len({_NAMED("title || ' ' || h1")}) AS headline FROM a),
+w AS (SELECT k, i, w FROM (SELECT k, generate_subscripts({_NAMED("listing")}, 1) AS i, unnest({_NAMED("listing")}) AS w FROM b)),
+w1 AS (SELECT k, w, min(i) AS i, regexp_matches(w, '^\d+(?:\.\d+)?[a-z]{{0,3}}$') AS size FROM w GROUP BY k, w),
+w2 AS (SELECT *, bool_and(size) OVER (PARTITION BY k) AS sizes, count(*) FILTER (NOT size) OVER (PARTITION BY k ORDER BY i) AS r FROM w1),
+want AS (SELECT k, list(w) AS ws FROM w2 WHERE sizes OR NOT size AND r <= 3 GROUP BY k),
+c AS (SELECT b.*, coalesce(ws, []) AS ws, len(list_intersect(coalesce(ws, []), seen)) AS shared FROM b LEFT JOIN want USING (k)),
+r AS (SELECT k, CASE WHEN status IN (404, 410) THEN 'not found' WHEN status IN (202, 401, 403, 407, 429) OR status >= 500 THEN 'refused' WHEN status >= 400 THEN 'rejected' WHEN status >= 300 THEN 'unexpected answer'
+  WHEN moved AND trim({PATH_SQL.replace("url", "landed")}, '/') = '' AND trim({PATH_SQL}, '/') <> '' THEN 'redirected to the front page'
+  WHEN moved AND (regexp_matches(lower({PATH_SQL.replace("url", "landed")}), '{_LIST}') OR contains(regexp_extract(landed, '^[^?#]*\?([^#]*)', 1), 'q=')) AND NOT regexp_matches(lower({PATH_SQL}), '{_LIST}') THEN 'redirected to a list'
+  WHEN regexp_matches(lower(title), '{_VERIFY}') OR regexp_matches(lower(h1), '{_VERIFY}') THEN 'wall' WHEN regexp_matches(lower(title), '{_MISSING}') OR regexp_matches(lower(h1), '{_MISSING}') THEN 'says not found'
+  WHEN listing = '' THEN CASE WHEN declared OR title <> '' THEN 'opens' ELSE 'built by script' END
+  WHEN len(ws) > 0 AND shared >= least(2, len(ws)) THEN 'shows the product' WHEN (declared OR named <> '') AND headline >= 2 THEN 'another product' ELSE 'built by script' END AS reason FROM c)
+SELECT k AS page_id, CASE WHEN reason IN ('refused', 'unexpected answer', 'wall', 'built by script') THEN 'unchecked' WHEN reason IN ('opens', 'shows the product') THEN 'ok' ELSE 'dead' END AS state, reason FROM r
 """
 
 
@@ -121,11 +146,12 @@ SELECT p_partkey, CASE WHEN round(p_retailprice, 2) > 0 THEN round(p_retailprice
 
 def availability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
-    raw = F.when(flag == "R", "http://schema.org/OutOfStock").when(flag == "A", "Pre-Order").when(F.col("l_linestatus") == "O", "In Stock").otherwise("ask us")
+    later = F.when(F.col("l_linenumber") % 2 == 0, "https://schema.org/PreSale").otherwise("Pre-Order, available soon")
+    raw = F.when(flag == "R", "http://schema.org/OutOfStock").when(flag == "A", later).when(F.col("l_linestatus") == "O", "https://soldout.example/InStock").otherwise("ask us")
     return src.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", tx.availability(raw).alias("in_stock")).groupBy("l_returnflag", "l_linestatus", "in_stock").agg(F.count("*").alias("n"))
 
 
-AVAILABILITY = "SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'R' THEN FALSE WHEN l_returnflag = 'A' THEN TRUE WHEN l_linestatus = 'O' THEN TRUE END AS in_stock, count(*) AS n FROM lineitem GROUP BY ALL"
+AVAILABILITY = "SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'R' THEN FALSE WHEN l_returnflag = 'A' THEN NULL WHEN l_linestatus = 'O' THEN TRUE END AS in_stock, count(*) AS n FROM lineitem GROUP BY ALL"
 
 
 def rating_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from candor.sources import tables as src
 
 #: Lexicon entries that occur in the invented prose of the documents.
 GOOD, BAD = ("tion", "enst", "ment"), ("scum", "idiot", "worthless", "trash", "stin")
-PROMO = r"(the the|stupid)"
+PROMO = (r"\b(?:the the)\b", r"\b(?:stupid|scum)\b")
 LIST = lambda words: ", ".join(f"'{w}'" for w in words)
 
 KEY_SQL = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -45,7 +45,7 @@ FINDINGS_SQL = f"""
 {PAIRS_SQL}, dup AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs), {SENTIMENT_SQL},
 f AS (
   SELECT doc_id AS review_id, source AS product, text, rating, sentiment, n_words, doc_id IN (SELECT id FROM dup) AS nd,
-         regexp_matches(lower(text), '{PROMO}') AS promo, rating >= 4 AND sentiment <= -0.4 AS over_, rating <= 2 AND sentiment >= 0.5 AS under_, n_words <= 4 AND rating = 5 AND sentiment > 0.5 AS praise
+         regexp_matches(lower(text), '{PROMO[0]}') OR regexp_matches(lower(text), '{PROMO[1]}') AS promo, rating >= 4 AND sentiment <= -0.4 AS over_, rating <= 2 AND sentiment >= 0.5 AS under_, n_words <= 4 AND rating = 5 AND sentiment > 0.5 AS praise
   FROM sent
 ), g AS (
   SELECT *, round(CASE WHEN promo THEN 0.6 ELSE 0 END + CASE WHEN over_ THEN 0.5 ELSE 0 END + CASE WHEN under_ THEN 0.45 ELSE 0 END + CASE WHEN praise THEN 0.2 ELSE 0 END + CASE WHEN nd THEN 0.55 ELSE 0 END, 2) AS suspicion,
@@ -129,15 +129,18 @@ FROM p
 
 def model_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(F.col("review_id") % 4 != 0, (F.col("review_id") * 37 % 100) / 100)
-    return reviews.merge_model(findings(spark, sf_dir).withColumn("probability", p)).select("review_id", "detector", "classification", F.round("confidence", 4).alias("confidence"))
+    return reviews.merge_model(findings(spark, sf_dir).withColumn("probability", p)).select("review_id", "detector", "classification", F.round("confidence", 4).alias("confidence"), "risk", F.try_element_at("signals", F.lit(-1)).alias("last_signal"))
 
 
 MERGE = f"""
 WITH {FINDINGS_SQL}, p AS (SELECT *, CASE WHEN review_id % 4 <> 0 THEN (review_id * 37 % 100) / 100 END AS prob FROM findings)
 SELECT review_id, CASE WHEN prob IS NULL THEN 'rules' ELSE 'ml+rules' END AS detector,
        CASE WHEN prob IS NULL OR classification = 'suspicious' THEN classification WHEN prob >= 0.9 THEN 'suspicious' WHEN prob <= 0.045 AND NOT any_signal THEN 'genuine-looking' ELSE 'needs-review' END AS classification,
-       round(CASE WHEN prob IS NULL THEN confidence WHEN classification = 'suspicious' THEN greatest(confidence, CASE WHEN prob >= 0.9 THEN round(prob, 2) ELSE 0 END)
-            WHEN prob >= 0.9 THEN round(prob, 2) WHEN prob <= 0.045 AND NOT any_signal THEN round(1 - prob, 2) ELSE 0.45 END, 4) AS confidence
+       round(CASE WHEN prob IS NULL THEN confidence WHEN prob >= 0.9 THEN greatest(CASE WHEN classification = 'suspicious' THEN confidence ELSE 0 END, least(0.95, round(prob, 2)))
+            WHEN classification = 'suspicious' THEN confidence WHEN prob <= 0.045 AND NOT any_signal THEN least(0.9, round(1 - prob, 2)) ELSE 0.45 END, 4) AS confidence,
+       CASE WHEN prob IS NULL THEN risk WHEN prob >= 0.95 THEN 'high' WHEN prob >= 0.9 THEN 'medium' WHEN classification = 'suspicious' THEN risk WHEN prob <= 0.045 AND NOT any_signal THEN 'low' ELSE 'medium' END AS risk,
+       CASE WHEN prob IS NULL THEN CASE WHEN nd THEN 'near_duplicate' WHEN praise THEN 'short_praise' WHEN over_ OR under_ THEN 'rating_mismatch' WHEN promo THEN 'promotional' END
+            ELSE 'Text model: ' || (review_id * 37 % 100) || '%' || CASE WHEN prob >= 0.9 THEN ' alike to generated reviews' WHEN classification = 'suspicious' THEN ' alike, below the flag' WHEN prob <= 0.045 AND NOT any_signal THEN ' alike only' ELSE ' alike, inconclusive' END END AS last_signal
 FROM p
 """
 
@@ -182,7 +185,7 @@ def latin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LATIN = r"""
 WITH s AS (SELECT doc_id, text, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS a, length(regexp_replace(text, '\P{L}', '', 'g')) AS l, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents)
-SELECT doc_id, CASE WHEN l > 0 THEN round(a / l, 6) END AS latin_share, coalesce(l > 0 AND a / l >= 0.9, FALSE) AND n >= 5 AS judged FROM s
+SELECT doc_id, CASE WHEN l > 0 THEN round(a / l, 6) ELSE 0.0 END AS latin_share, coalesce(l > 0 AND a / l >= 0.9, FALSE) AND n >= 6 AS judged FROM s
 """
 
 

@@ -17,7 +17,7 @@ def test_parse_price(spark, value, price):
     assert one(spark, text.parse_price("v"), v=value) == price
 
 
-@pytest.mark.parametrize("value, known", [("http://schema.org/OutOfStock", False), ("SoldOut", False), ("PreOrder", True), ("In stock", True), ("ask", None), (None, None)])
+@pytest.mark.parametrize("value, known", [("http://schema.org/OutOfStock", False), ("SoldOut", False), ("https://schema.org/PreOrder", None), ("presale, available soon", None), ("back-order", None), ("https://soldout.example/InStock", True), ("In stock", True), ("", None), ("ask", None), (None, None)])
 def test_availability(spark, value, known):
     assert one(spark, text.availability("v"), v=value) is known
 
@@ -36,7 +36,11 @@ def test_format_inr(spark, value, shown):
 def test_titles_and_brands(spark):
     assert one(spark, text.clean_title("v", F.lit("ShopMart")), v="  Steel  Kettle 2 L | ShopMart") == "Steel Kettle 2 L"
     assert one(spark, text.clean_title("v"), v="Buy Steel Kettle 2 L online at low prices") == "Steel Kettle 2 L"
-    assert one(spark, text.clean_title("v"), v="Access Denied") is None
+    assert one(spark, text.clean_title("v", F.lit("ShopMart")), v="ShopMart : Steel Kettle - Buy at best price") == "Steel Kettle"
+    assert one(spark, text.clean_title("v"), v="Buy it online here") == "Buy it online here"
+    for bad in ("Loading", " 404 ", "Page not found!", "undefined | Shop", "Just a moment...", "-- ", None):
+        assert one(spark, text.clean_title(F.col("v").cast("string")), v=bad) is None
+    assert one(spark, text.clean_brand("v"), v="Brand: Acme -") == "Acme"
     assert one(spark, text.clean_brand("v"), v="Visit the Acme Store") == "Acme"
 
 

@@ -197,10 +197,23 @@ def test_extraction(spark):
 
 
 def test_link_states(spark):
-    rows = [(404, "u/x", "u/x", "t"), (503, "u/x", "u/x", "t"), (200, "https://a.b/x", "https://a.b/", "t"), (200, "https://a.b/x", "https://a.b/x", "Are you a robot"), (200, "https://a.b/x", "https://a.b/x", "page not found"), (200, "https://a.b/x", "https://a.b/x", "garden hose"), (200, "https://a.b/x", "https://a.b/x", "steel kettle here")]
-    d = spark.createDataFrame(rows, "s int, u string, f string, t string")
-    got = [r[0]["state"] for r in d.select(extract.link_state(F.col("s"), "u", "f", "t", F.lit(""), F.lit("Steel kettle"))).collect()]
-    assert got == ["dead", "unchecked", "dead", "unchecked", "dead", "dead", "ok"]
+    ok = ("https://a.b/x", "https://a.b/x")
+    rows = [(404, *ok, "t", False), (410, *ok, "t", False), (503, *ok, "t", False), (202, *ok, "t", False), (407, *ok, "t", False), (418, *ok, "t", False), (302, *ok, "t", False)]
+    rows += [(200, "https://a.b/x", "https://a.b/", "t", False), (200, "https://a.b/x", "https://a.b/search/q", "Steel kettle", False), (200, "https://a.b/x", "https://a.b/y?q=k", "Steel kettle", False), (200, "https://a.b/c/1", "https://a.b/search/2", "Steel kettle", False)]
+    rows += [(200, *ok, "Are you a robot?", True), (200, *ok, "Oops, something went wrong", True), (200, *ok, "Garden hose green", True), (200, *ok, "Garden hose green", False), (200, *ok, "Steel kettle here", False), (200, *ok, "", False)]
+    d = spark.createDataFrame(rows, "s int, u string, f string, t string, p boolean")
+    none = F.lit(None).cast("string")
+    judged = extract.link_state(F.col("s"), "u", "f", F.col("t"), none, none, F.array().cast("array<string>"), F.col("p"), F.lit("Buy Steel kettle 2l online"))
+    got = [r[0]["state"] for r in d.select(judged).collect()]
+    assert got == ["dead", "dead", "unchecked", "unchecked", "unchecked", "dead", "unchecked", "dead", "dead", "dead", "ok", "unchecked", "dead", "dead", "unchecked", "ok", "unchecked"]
+    untitled = extract.link_state(F.col("s"), "u", "f", F.col("t"), none, none, F.array().cast("array<string>"), F.col("p"))
+    assert [r[0]["state"] for r in d.where("s = 200 and u = f").select(untitled).collect()] == ["unchecked", "dead", "ok", "ok", "ok", "unchecked"]
+
+
+def test_walls(spark):
+    rows = [(200, "Robot check"), (None, "checking your browser"), (403, "x"), (500, "Access denied"), (500, "x"), (200, "Please log in to see more"), (200, "log in " + "x " * 500 + "to continue"), (200, "log in to continue " + "word " * 300), (200, "Captcha " + "word " * 600), (None, None)]
+    d = spark.createDataFrame(rows, "s int, t string")
+    assert [r[0] for r in d.select(extract.wall(F.col("s"), "t")).collect()] == ["blocked", "blocked", "blocked", "blocked", "http_500", "login", None, None, None, None]
 
 
 def test_picture_features():
@@ -243,3 +256,15 @@ def test_all_titles_of_a_block_are_paired(spark, tmp_path):
     got = {(r["a_id"], r["b_id"]): (r["a_parts"], r["b_parts"]) for r in match_queries.title_class_jaccard(spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)} and got[1, 4] == (2, 1)
     assert {(r["part_id"], r["class_id"]) for r in match_queries.title_class_members(spark, str(tmp_path)).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
+
+
+def test_model_merge_rules(spark):
+    rows = [("suspicious", 0.92, "high", ["promotional"], 0.95), ("suspicious", 0.6, "medium", ["promotional"], 0.3), ("needs-review", 0.35, "medium", [], 0.999), ("needs-review", 0.35, "medium", [], 0.91), ("genuine-looking", 0.58, "low", [], 0.01), ("needs-review", 0.35, "medium", ["short_praise"], 0.01), ("needs-review", 0.35, "medium", [], 0.5), ("suspicious", 0.7, "high", [], None)]
+    d = spark.createDataFrame(rows, "classification string, confidence double, risk string, signals array<string>, probability double")
+    got = [(r["classification"], r["confidence"], r["risk"], len(r["signals"]), r["detector"]) for r in reviews.merge_model(d).collect()]
+    assert got == [("suspicious", 0.95, "high", 2, "ml+rules"), ("suspicious", 0.6, "medium", 2, "ml+rules"), ("suspicious", 0.95, "high", 1, "ml+rules"), ("suspicious", 0.91, "medium", 1, "ml+rules"), ("genuine-looking", 0.9, "low", 1, "ml+rules"), ("needs-review", 0.45, "medium", 2, "ml+rules"), ("needs-review", 0.45, "medium", 1, "ml+rules"), ("suspicious", 0.7, "high", 0, "rules")]
+
+
+def test_promotion_needs_whole_words(spark):
+    d = spark.createDataFrame([("really good goods and goodness",), ("GOOD GOOD item",), ("100% workings",), ("guaranteed result!",)], "text string").withColumns({"rating": F.lit(3), "near_duplicate": F.lit(False)})
+    assert [r["signals"] for r in reviews.rule_findings(d).collect()] == [[], ["promotional"], [], ["promotional"]]
