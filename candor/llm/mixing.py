@@ -26,8 +26,8 @@ A training text is never predicted from itself: its own counts are taken off
 those of the pairs that come back (not off the dense tables, where they hardly weigh). So
 texts score alike whether they were learned from or not, and a text with a copy elsewhere stands out.
 
-The base score needs each token's count. Common words have theirs at the workers; all others meet
-them in a join.
+The base score needs each token's count. Common words and a bounded number of further ones have theirs
+at the workers; all others meet them in a join.
 
 Defined results: a null text is empty and has one token, its end; without
 training documents all counts are 0 and only the code's shape counts; a null doc_id
@@ -58,6 +58,8 @@ SYMBOL_BITS = 17
 COMMON, LONGEST = (1 << SYMBOL_BITS) - 2, 64
 #: A common word was seen at least so often; the others show how new words are spelled.
 LEAST = 2
+#: Words after the common ones whose counts the workers get too, for the base score alone.
+MORE = 3 << 17
 #: Bits of the hash of a pair of words in a key: so many more than those of the number of training tokens, up to MOST_BITS.
 SPARE_BITS, MOST_BITS = 6, 46
 #: Contexts of the last short word: the most common ones, and one for all else.
@@ -72,7 +74,7 @@ CALM = 100.0
 #: Tokens of texts that go on together (or one longer text).
 TOGETHER = 1 << 15
 #: Bytes of text in a slice, and of coded slices whose pairs make up a bucket.
-SLICE, BUCKET = 4 << 20, 1 << 20
+SLICE, BUCKET = 3 << 20, 1 << 20
 #: Counts from FULL on are given as shares of FULL.
 FULL = 255
 #: Weight of the context-free prediction in that of a short word, and the part of a count that every branch has.
@@ -195,6 +197,9 @@ class Vocabulary:
     end: int
     escape: int
     pair_bits: int
+    #: Further words, and log10 of their counts and 0.5.
+    more: pa.Array | None = None
+    more_log: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.code, self.spelling = Code(np.sort(code_sizes(self.counts))), Code(np.sort(code_sizes(self.byte_counts)))
@@ -271,6 +276,16 @@ class Slice:
             at += 3 * k
         return Slice(numbers[0], sizes, raw[at:].split(b"\n") if r else [], numbers[1], train)
 
+    def places(self, voc: Vocabulary) -> np.ndarray:
+        """The text of each escape."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)[self.symbols == voc.escape]
+
+    def listed(self, voc: Vocabulary) -> np.ndarray:
+        """Where each rare word stands among the vocabulary's further words; -1 if it doesn't."""
+        if not self.rare or voc.more is None or not len(voc.more):
+            return np.full(len(self.rare), -1, dtype=np.int64)
+        return pc.fill_null(pc.index_in(pa.array(self.rare, pa.large_binary()), voc.more), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
 
@@ -717,14 +732,14 @@ def coded_slices(sent: Broadcast, docs: DataFrame, size: int) -> DataFrame:
 
 
 def rare_words(sent: Broadcast, coded: DataFrame) -> DataFrame:
-    """(text, word): the words beyond the common ones, each time they stand in a text; ``text`` is ``text_number``."""
+    """(text, word): the words whose counts the workers don't have, each time they stand in a text; ``text`` is ``text_number``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(column(batch, "slice").to_pylist(), column(batch, "data"), strict=True):
                 s = Slice.unpacked(data.as_py())
-                place = np.repeat(np.arange(len(s.sizes)), s.sizes)[s.symbols == sent.value.escape]
-                yield pa.RecordBatch.from_arrays([pa.array(text_number(number, place)), pa.array(s.rare, pa.binary()).take(pa.array(s.which))], names=["text", "word"])
+                asked = s.listed(sent.value)[s.which] < 0 if s.rare else np.zeros(0, dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(text_number(number, s.places(sent.value)[asked])), pa.array(s.rare, pa.binary()).take(pa.array(s.which[asked]))], names=["text", "word"])
 
     return coded.select("slice", "data").mapInArrow(run, "text bigint, word binary")
 
@@ -757,13 +772,16 @@ def scored_slices(model: Broadcast, coded: DataFrame, told: DataFrame, parts: in
         log[m.voc.escape] = 0
         starts, number = s.starts(), table.column("slice")[0].as_py()
         known = (s.symbols != m.voc.escape) & (m.voc.counts[s.symbols] > 0)
+        at = s.listed(m.voc)[s.which] if s.rare else np.zeros(0, dtype=np.int64)
+        place, n_texts = s.places(m.voc)[at >= 0], len(s.sizes)
+        more_log = np.bincount(place, m.voc.more_log[at[at >= 0]], n_texts) if len(place) else np.zeros(n_texts)
         return pa.table(
             {
                 "text": pa.array(text_number(number, np.arange(len(s.sizes)))),
                 "doc_id": table.column("ids")[order[0]].values,
                 "n_tokens": pa.array(s.sizes),
-                "seen": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                "common_log": pa.array(np.add.reduceat(log[s.symbols], starts)),
+                "seen": pa.array(np.add.reduceat(known.astype(np.int64), starts) + np.bincount(place, minlength=n_texts)),
+                "common_log": pa.array(np.add.reduceat(log[s.symbols], starts) + more_log),
                 "score": pa.array(score),
                 "bits_per_byte": pa.array(-score * np.log2(10) / coded_bytes),
             }
@@ -773,7 +791,7 @@ def scored_slices(model: Broadcast, coded: DataFrame, told: DataFrame, parts: in
     return both.repartition(parts, "slice").groupBy("slice").applyInArrow(run, SCORED)
 
 
-def mixing_scores(docs: DataFrame, common: int = COMMON, least: int = LEAST, slice_bytes: int = SLICE, bucket: int = BUCKET, stride: int = STRIDE, rate: float = RATE) -> DataFrame:
+def mixing_scores(docs: DataFrame, common: int = COMMON, more: int = MORE, least: int = LEAST, slice_bytes: int = SLICE, bucket: int = BUCKET, stride: int = STRIDE, rate: float = RATE) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(fold("doc_id") != HELD_OUT, F.lit(False)).alias("train"))
@@ -782,11 +800,14 @@ def mixing_scores(docs: DataFrame, common: int = COMMON, least: int = LEAST, sli
     n_docs = train.count()
     known = table.agg(F.count("*"), F.sum("c")).first()
     n_tokens, n_kinds = (known[1] or 0) + n_docs, known[0] + (n_docs > 0)
-    top = table.where((F.octet_length("word") <= LONGEST) & (F.col("c") >= least)).orderBy(F.desc("c"), "word").limit(common).toArrow()
-    words, counts = top.column("word").to_pylist(), top.column("c").to_numpy()
+    top = table.where((F.octet_length("word") <= LONGEST) & (F.col("c") >= least)).orderBy(F.desc("c"), "word").limit(common + more).toArrow().combine_chunks()
+    words, counts = top.column("word").slice(0, common).to_pylist(), top.column("c").slice(0, common).to_numpy()
     rare = int((known[1] or 0) - counts.sum())
     letters = np.append(table_bytes(table) - byte_counts(words, counts), rare)
     voc = vocabulary(list(zip(words, counts.tolist(), strict=True)), n_docs, rare, letters)
+    voc.more = pa.array(top.column("word").slice(common).to_pylist(), pa.large_binary())
+    voc.more_log = np.log10(top.column("c").slice(common).to_numpy() + 0.5)
+    del top, words
     sent = spark.sparkContext.broadcast(voc)
     # Small row groups, so that the few large rows are read by many tasks.
     coded = spool(coded_slices(sent, docs, slice_bytes), "coded", **{"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4})

@@ -291,8 +291,9 @@ def test_mixing_bit_by_bit(spark, common, slice_bytes, bucket):
     assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 2)) for r in got) == sorted((str(i), len(stems(t)) + 1, pytest.approx(x, rel=2e-3, abs=0.02)) for (i, t), x in zip(rows, want, strict=True))
 
 
-def test_mixing_counts_and_base(docs, spark):
-    got = mixing.mixing_scores(docs, common=5).collect()
+@pytest.mark.parametrize("more", [0, 30, 100000])
+def test_mixing_counts_and_base(docs, spark, more):
+    got = mixing.mixing_scores(docs, common=5, more=more).collect()
     rows = docs.select("doc_id", "text").collect()
     train = [r for r in rows if is_train(r["doc_id"])]
     counts = {}
