@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import KEY, column, same_row, slices, spool, strings, text_key
+from candor.llm.common import KEY, column, rows_listed, slices, spool, strings, text_key
 
 TOKENS = re.compile(r"[^\W_]+").findall
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -214,8 +214,7 @@ def _leaks_of_block(docs: DataFrame, ids: list[str], items: list[tuple[int, str]
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that leak an item. A clean row that shares its doc_id with a leaking one stays, as
-    rows are named by id and text. Texts don't move: the list of ids and hashes is broadcast by Spark if its file is
-    small, and shuffled otherwise."""
+    rows are named by id and text; see ``rows_listed``."""
     rows = docs.select(docs["doc_id"].alias(KEY[0]), *[c.alias(k) for k, c in zip(KEY[1:], text_key(docs), strict=True)], "text")
     found = spool(leaks(rows, benchmark, min_match, threshold, ids=KEY).select(*KEY).distinct(), "leaks")
-    return docs.join(found, same_row(docs, found), "left_anti")
+    return rows_listed(docs, found, "left_anti")

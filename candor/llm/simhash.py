@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import KEY, column, same_row, slices, split_count, spool, strings, text_key
+from candor.llm.common import KEY, column, rows_listed, slices, split_count, spool, strings, text_key
 
 SEED = 42
 #: Fingerprints of a tile that are compared with a tile at once.
@@ -202,8 +202,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
 def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """``docs`` (with doc_id, text) without the rows that another row of their group stands for: the one of the smallest
     doc_id stays (null ids last), of rows with one doc_id the one whose text has the smallest hash, of equal texts under
-    one id the first by the other columns. Texts don't move: what goes is a list of ids and hashes, which Spark
-    broadcasts if its file is small and shuffles otherwise."""
+    one id the first by the other columns. What goes is a list of ids and hashes: see ``rows_listed``."""
     rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in zip(KEY[1:], text_key(docs), strict=True)])
     prints = spool(with_fingerprints(rows, size).withColumnRenamed("doc_id", "_id"), "prints")
     placed = spool(_placed(prints, radius), "placed")
@@ -215,12 +214,12 @@ def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     marked = spool(named.select(*KEY, (name == F.col("first")).alias("stays"), "n").where("not stays or n > 1"), "marked")
     # The list is read anew for each use, so that its size is that of its own file.
     gone = spool(marked.select(*KEY), "gone")
-    out = docs.join(gone, same_row(docs, gone), "left_anti")
+    out = rows_listed(docs, gone, "left_anti")
     again = marked.where("stays").select(*KEY)
     if again.isEmpty():
         return out
     again = spool(again, "again")
-    rest = docs.join(again, same_row(docs, again), "left_semi")
+    rest = rows_listed(docs, again, "left_semi")
     # One of the rows that repeat an id and text, by partial sums too.
     whole = F.struct(*[rest[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)])
     one = rest.groupBy(rest["doc_id"].alias("_id"), *[c.alias(k) for k, c in zip(KEY[1:], text_key(rest), strict=True)]).agg(F.min_by(whole, F.xxhash64(*[rest[f"`{c}`"].cast("string") for c in docs.columns])).alias("row"))
