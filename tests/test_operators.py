@@ -133,37 +133,53 @@ def test_labels_clear_and_refuse(spark):
     assert [r["label"] for r in labels.save_labels(none, batch).collect()] == ["fake"]
 
 
-def score(spark, s, c, **more):
-    row = {"s_title": s, "s_brand": "Acme", "s_price": 100.0, "c_title": c, "c_brand": "Acme", "c_price": 100.0} | more
-    kinds = {float: "double"}
-    d = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(type(v), 'string')}" for k, v in row.items()))
-    return matching.score_matches(d).first()
-
-
-@pytest.mark.parametrize(
-    "s, c, status, relation",
-    [
-        ("Acme KX20 Phone 128 GB black", "Acme KX20 Phone 128GB", "verified", "exact"), ("Acme KX20 Phone 128 GB", "Acme KX20 Pro Phone 128 GB", "rejected", "similar"), ("Acme KX20 Phone", "Acme KX20 Phone case", "rejected", "none"),
-        ("Acme KX20 Phone", "Acme ZZ99 Phone", "rejected", "similar"), ("Acme KX20 Phone", "Renewed Acme KX20 Phone", "rejected", "none"),
-    ],
-)
-def test_matches(spark, s, c, status, relation):
-    r = score(spark, s, c)
-    assert (r["status"], r["relation"]) == (status, relation), (r["score"], r["differences"], r["flags"])
-
-
-def test_identifiers_and_price_in_matches(spark):
+NUMBERS = {"s_price", "c_price", "image"}
+FIELDS = ["s_title", "s_brand", "s_price", "c_title", "c_price", "c_url", "s_gtin", "c_gtin", "s_mpn", "c_mpn", "image", "visual"]
+
+
+def scores(spark, cases):
+    """All cases in one plan; each is (source title, candidate title, other fields)."""
+    rows = [{"s_title": s, "s_brand": "Acme", "s_price": 100.0, "c_title": c, "c_price": 100.0} | more for s, c, more in cases]
+    d = spark.createDataFrame([(k, *[r.get(f) for f in FIELDS]) for k, r in enumerate(rows)], "k int, " + ", ".join(f"{f} {'double' if f in NUMBERS else 'string'}" for f in FIELDS))
+    return sorted(matching.score_matches(d).collect(), key=lambda r: r["k"])
+
+
+def test_matches(spark):
     good = "4006381333931"
-    assert score(spark, "Acme KX20 Phone", "Acme KX20 handset", s_gtin=good, c_gtin=good)["score"] >= 0.77
-    assert score(spark, "Acme KX20 Phone", "Acme KX20 Phone", s_gtin=good, c_gtin="036000291452")["status"] == "rejected"
-    assert score(spark, "Acme KX20 Phone", "Acme KX20 Phone", c_price=10.0)["status"] == "rejected"
+    cases = [
+        ("Acme KX20 Phone 128 GB black", "Acme KX20 Phone 128GB", {}, "verified", "exact"), ("Acme KX20 Phone 128 GB", "Acme KX20 Pro Phone 128 GB", {}, "rejected", "similar"), ("Acme KX20 Phone", "Acme KX20 Phone case", {}, "rejected", "none"), ("Acme KX20 Phone", "Acme ZZ99 Phone", {}, "rejected", "similar"),
+        ("Acme KX20 Phone 128 GB", "Acme KX20 Plus Phone 128 GB", {}, "rejected", "similar"), ("Acme KX20 Phone 128 GB", "Acme KX20 Phone 256 GB", {}, "candidate", "similar"), ("Acme KX20 Phone", "Acme KX20B Phone", {}, "verified", "exact"), ("Acme Surge 5 Shoes", "Acme Surge 5X Shoes", {}, "rejected", "similar"),
+        ("Acme Surge 5 Shoes", "Acme Surge 6 Shoes", {}, "rejected", "similar"), ("Acme Surge 5 Shoes", "Nike Surge 5 Shoes", {}, "rejected", "none"), ("Acme Surge 5 Shoes for men", "Acme Surge 5 Shoes for women", {}, "rejected", "none"), ("Acme Surge 5 Shoes", "Acme Surge 5 zebra river storm team Shoes", {}, "candidate", "similar"),
+        ("Acme Argan Shampoo 200 ml", "Acme Lily Conditioner 200 ml", {}, "rejected", "none"), ("Acme KX20 Phone case", "Acme KX20 Phone", {}, "rejected", "none"), ("Acme KX20 Phone", "Acme KX20 Phone | Without Charger", {}, "verified", "exact"), ("Refurbished Acme KX20 Phone", "Pre-owned Acme KX20 Phone", {}, "candidate", "similar"),
+        ("Acme 55 inch QX9 TV", "Acme 65 inch QX9 TV", {}, "candidate", "similar"), ("Acme Steel Kettle 1.5 l", "Acme Steel Kettle 1500 ml", {}, "verified", "exact"), ("Acme KX20 Phone", "Renewed Acme KX20 Phone", {}, "rejected", "none"), ("Acme KX20 Phone", "Acme KX20 Phone", {"s_gtin": good, "c_gtin": "036000291452"}, "rejected", "similar"),
+        ("Acme KX20 Phone", "Acme KX20 Phone", {"c_price": 10.0}, "rejected", "none"), ("Acme KX20 Phone", "Other thing entirely", {"s_gtin": good, "c_gtin": good}, "rejected", "none"), ("Acme Steel Kettle", "Acme Steel Kettle", {"visual": "different"}, "candidate", "similar"), ("", None, {"s_brand": None, "s_price": None}, "candidate", "similar"),
+    ]
+    got = scores(spark, [c[:3] for c in cases])
+    wrong = [(c, r["status"], r["relation"], r["score"], r["flags"], r["differences"]) for c, r in zip(cases, got, strict=True) if (r["status"], r["relation"]) != c[3:]]
+    assert not wrong, wrong
+
+
+def test_identifiers_photos_addresses_and_notes_in_matches(spark):
+    good, phone = "4006381333931", "Acme KX20 Phone"
+    r = scores(
+        spark,
+        [(phone, "Acme KX20 handset", {"s_gtin": good, "c_gtin": good}), (phone, phone, {"s_mpn": "AB12345", "c_mpn": "ab-12345x"}), (phone, "Acme KX20 Phone AB12345", {"s_mpn": "AB12345"}), ("Acme Steel Kettle", "Acme Kettle", {}), ("Acme Steel Kettle", "Acme Kettle", {"image": 0.75}), ("Acme Steel Kettle", "Acme Kettle", {"image": 0.85}),
+         ("Acme Surge KX20 Phone", "Acme phone", {"c_url": "https://shop.example/acme-surge-kx20-phone-black/p/1"}), ("Acme KX20 Phone 128 GB", "Acme KX20 Phone 256 GB", {}), (phone, "Acme KX20 Pro Phone", {}), (phone, phone, {"c_price": 300.0})],
+    )
+    assert r[0]["score"] >= 0.77 and "same part number" in r[1]["reasons"] and "part number in the title" in r[2]["reasons"]
+    assert r[4]["score"] == pytest.approx(r[3]["score"] + 0.05) and r[5]["score"] == pytest.approx(r[3]["score"] + 0.10)
+    assert r[6]["coverage"] == 1.0 and r[6]["code_score"] == 1.0
+    assert r[7]["differences"] == ["storage 256 GB instead of 128 GB"] and r[8]["differences"] == ["the Pro version of this model"] and r[9]["flags"] == ["price off"]
 
 
 def test_specs_and_memory(spark):
     d = spark.createDataFrame([("Kettle 1.5 l 2 kg SPF 50 5G pack of 3 1 TB 30 cm",), ("Phone 8 GB RAM 128 GB",)], "t string")
-    s = d.select(matching.specs("t").alias("s")).collect()[0]["s"]
-    assert s == {"ml": [1500.0], "g": [2000.0], "spf": [50.0], "pack": [3.0], "gb": [1024.0], "inch": [11.81]}
-    assert tuple(d.select(matching.memory_split("t").alias("m")).collect()[1]["m"]) == (8.0, 128.0)
+    read = lambda d: matching.with_specs(d.withColumn("text", matching.normal("t")), "text", "x_").collect()
+    s = read(d)[0]["x_specs"]
+    assert s == {"ml": [1500.0], "g": [2000.0], "spf": [50.0], "pcs": [3.0], "storage_gb": [1024.0], "inch": [11.8]}
+    titles = ["Phone 8 GB RAM 128 GB", "Phone (6GB, 128GB)", "8GB stick", "256 GB card", "RAM: 16 GB SSD 512 GB", "4gb 8gb", "plain"]
+    got = read(spark.createDataFrame([(x,) for x in titles], "t string"))
+    assert [tuple(r["x_memory"]) for r in got] == [([8.0, 128.0], []), ([6.0], [128.0]), ([8.0], []), ([], [256.0]), ([16.0], [512.0]), ([4.0], [8.0]), ([], [])]
 
 
 def test_conditions(spark):
@@ -268,3 +284,15 @@ def test_model_merge_rules(spark):
 def test_promotion_needs_whole_words(spark):
     d = spark.createDataFrame([("really good goods and goodness",), ("GOOD GOOD item",), ("100% workings",), ("guaranteed result!",)], "text string").withColumns({"rating": F.lit(3), "near_duplicate": F.lit(False)})
     assert [r["signals"] for r in reviews.rule_findings(d).collect()] == [[], ["promotional"], [], ["promotional"]]
+
+
+def test_categories_by_brand_and_memory(spark):
+    rows = [("Surge 5", "Nike"), ("Thing 8 GB RAM", None), ("Nike thing", None), ("plain thing", None), ("KX20 back case", None), ("Rose shampoo", "Nike")]
+    d = matching.with_identity(spark.createDataFrame(rows, "t string, b string"), "t", "b", "x_")
+    assert [r["x_category"] for r in d.collect()] == ["fashion", "electronics", "fashion", "general", "electronics", "beauty"]
+
+
+def test_search_texts(spark):
+    d = spark.createDataFrame([("Acme Surge Phone KX20 5G (6GB, 128GB) black", "Acme"), ("Rice 5 kg", None)], "t string, b string")
+    got = [r[0] for r in matching.with_identity(d, "t", "b", "x_").select(matching.queries(d, "x_")).collect()]
+    assert got[0][0].startswith("acme surge kx20") and got[0][0].endswith("128gb") and got[1] == ["rice 5000g", "rice"]
