@@ -296,3 +296,19 @@ def test_search_texts(spark):
     d = spark.createDataFrame([("Acme Surge Phone KX20 5G (6GB, 128GB) black", "Acme"), ("Rice 5 kg", None)], "t string, b string")
     got = [r[0] for r in matching.with_identity(d, "t", "b", "x_").select(matching.queries(d, "x_")).collect()]
     assert got[0][0].startswith("acme surge kx20") and got[0][0].endswith("128gb") and got[1] == ["rice 5000g", "rice"]
+
+
+def test_assembled_parts(spark):
+    from candor.operators import assembly
+
+    items = spark.createDataFrame([(1, "https://a.b/x/", 5.0), (2, "https://a.b/y", 6.0)], "id int, url string, price double")
+    details = spark.createDataFrame([("https://www.a.b/x", 1, 7.0, "g1"), ("https://a.b/x?utm=1", 2, None, "g2")], "url string, ordinal int, price double, gtin string")
+    assert [(r["id"], r["price"], r["gtin"]) for r in assembly.with_details(items, details).orderBy("id").collect()] == [(1, 5.0, "g2"), (2, 6.0, None)]
+    table = spark.createDataFrame([("bakwas product hai", "useless product", 1)], "original string, translated string, ordinal int")
+    texts = spark.createDataFrame([("Bakwas product hai",), ("bakwas products hain",), ("plain",), (None,)], "text string")
+    assert [r[1] for r in assembly.translation(texts, "text", table).collect()] == ["useless product", "useless product", None, None]
+    rows = spark.createDataFrame([(i, f"t{i}", "a" if i % 2 else "b") for i in range(20)], "id int, text string, split string")
+    one = {tuple(r) for r in assembly.split_fingerprint(rows, "id", "text", "split").collect()}
+    assert one == {tuple(r) for r in assembly.split_fingerprint(rows.orderBy(F.desc("id")).repartition(3), "id", "text", "split").collect()} and len(one) == 2
+    found = spark.createDataFrame([("suspicious", 1), ("suspicious", 0), ("needs-review", 1), ("genuine-looking", 0)], "classification string, label int")
+    assert tuple(assembly.rule_baseline(found).first()) == (1, 1, 1, 1, 0.5, 0.5)
