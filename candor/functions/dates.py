@@ -7,21 +7,56 @@ from pyspark.sql import functions as F
 
 from candor.functions.text import col
 
-MONTHS = {
-    "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6, "jun": 6,
-    "july": 7, "jul": 7, "august": 8, "aug": 8, "september": 9, "sep": 9, "sept": 9, "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
-}
+NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Full names, their first three letters, and one more short form.
+MONTHS = {n: k for k, n in enumerate(NAMES, 1)} | {n[:3]: k for k, n in enumerate(NAMES, 1)} | {"sept": 9}
+#: Days that a unit of "ago" stands for; longer units give no day.
+UNITS = {"second": 0, "minute": 0, "hour": 0, "day": 1, "week": 7, "month": None, "year": None}
+SAID = {"today": 0, "just now": 0, "yesterday": 1}
 
 
-def month_number(c: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    return F.try_element_at(table, F.lower(c))
+def _table(values: dict, kind: str) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind))])
 
 
-def made(year: Column, month: Column, day: Column) -> Column:
-    """Midnight UTC of a day; null if there is no such day."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(month.isNotNull() & (year != "") & (day != ""), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+def pieces(c: Column) -> Column:
+    """The words and numbers of a text in order, in lower case; an ending on a number ("3rd") stays with it."""
+    return F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[0-9]+[a-z]*)"), F.lit(1))
+
+
+def month_of(piece: Column) -> Column:
+    return F.try_element_at(_table(MONTHS, "int"), piece)
+
+
+def day_of(piece: Column) -> Column:
+    """A number of one or two places, alone or as an ordinal."""
+    bare = F.when(F.right(piece, F.lit(2)).isin("st", "nd", "rd", "th"), F.left(piece, F.length(piece) - 2)).otherwise(piece)
+    return F.when(F.length(bare) <= 2, bare.try_cast("int"))
+
+
+def year_of(piece: Column) -> Column:
+    return F.when(F.length(piece) == 4, piece.try_cast("int"))
+
+
+def named_day(p: Column) -> Column:
+    """The first day, month and year that stand side by side, the day or the month first; null if there is no such day."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(p) - 3, F.lit(0)))
+    piece = lambda i: F.coalesce(F.get(p, i), F.lit(""))
+    ymd = lambda y, m, d: F.array(y, m, d)
+    day_first = F.transform(at, lambda i: ymd(year_of(piece(i + 2)), month_of(piece(i + 1)), day_of(piece(i))))
+    month_first = F.transform(at, lambda i: ymd(year_of(piece(i + 2)), month_of(piece(i)), day_of(piece(i + 1))))
+    whole = F.filter(F.concat(day_first, month_first), lambda x: F.forall(x, lambda v: v.isNotNull()))
+    found = F.get(whole, F.lit(0))
+    return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", found[0], found[1], found[2]), F.lit("yyyy-MM-dd"))
+
+
+def days_ago(text: Column, p: Column) -> tuple[Column, Column]:
+    """Whether a text says how long ago, and how many days that is."""
+    unit = F.regexp_replace(F.coalesce(F.get(p, F.lit(1)), F.lit("")), "s$", "")
+    counted = (F.size(p) == 3) & (F.coalesce(F.get(p, F.lit(2)), F.lit("")) == "ago") & unit.isin(list(UNITS)) & F.get(p, F.lit(0)).try_cast("int").isNotNull()
+    said = text.isin(list(SAID))
+    n = F.get(p, F.lit(0)).try_cast("int") * F.try_element_at(_table(UNITS, "int"), unit)
+    return F.coalesce(said | counted, F.lit(False)), F.when(said, F.try_element_at(_table(SAID, "int"), text)).when(counted, n)
 
 
 def parse_review_date(c: str | Column, now: Column) -> Column:
@@ -31,24 +66,8 @@ def parse_review_date(c: str | Column, now: Column) -> Column:
     and years ago give no day and so null.
     """
     t = F.trim(col(c))
-    low = F.lower(t)
-    today = F.date_trunc("day", now)
-    ago = r"^(\d+)\s*(second|minute|hour|day|week|month|year)s?\s+ago$"
-    n, unit = F.regexp_extract(low, ago, 1).try_cast("int"), F.regexp_extract(low, ago, 2)
-    relative = (
-        F.when(low.isin("today", "just now"), today)
-        .when(low == "yesterday", today - F.expr("INTERVAL 1 DAY"))
-        .when(unit.isin("second", "minute", "hour"), today)
-        .when(unit == "day", today - F.make_dt_interval(n))
-        .when(unit == "week", today - F.make_dt_interval(n * 7))
-    )
-    is_relative = low.isin("today", "just now", "yesterday") | (unit != "")
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(F.left(t, F.lit(10)), F.lit("yyyy-MM-dd"))))
-    dmy = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]+)\.?,?\s+(\d{4})"
-    mdy = r"([A-Za-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-    first = month_number(F.regexp_extract(t, dmy, 2))
-    second = month_number(F.regexp_extract(t, mdy, 1))
-    named = F.when(first.isNotNull(), made(F.regexp_extract(t, dmy, 3), first, F.regexp_extract(t, dmy, 1))).otherwise(
-        made(F.regexp_extract(t, mdy, 3), second, F.regexp_extract(t, mdy, 2))
-    )
-    return F.when(is_relative, relative).otherwise(F.coalesce(iso, named))
+    p = pieces(t)
+    ago, days = days_ago(F.lower(t), p)
+    is_iso = F.substring(t, 5, 1).isin("-") & F.substring(t, 8, 1).isin("-") & F.left(t, F.lit(4)).try_cast("int").isNotNull()
+    iso = F.when(is_iso, F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(F.left(t, F.lit(10)), F.lit("yyyy-MM-dd"))))
+    return F.when(ago, F.date_trunc("day", now) - F.make_dt_interval(days)).otherwise(F.coalesce(iso, named_day(p)))

@@ -5,7 +5,6 @@ No table holds product markup, so pages are made from parts; their SQL reads the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,7 +129,12 @@ SELECT source_id, store, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number()
 
 
 def stream_folder(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="candor-stream-")
+    """A folder for a stream's state and output where all executors can read it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir") + "/.candor"
     return f"{found}/candor-stream/{uuid.uuid4().hex}"
 
 

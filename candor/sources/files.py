@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +19,42 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The one CSV of a zip archive, by Spark's binary reader; more or fewer than one is an error."""
-    data = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [n for n in z.namelist() if n.lower().endswith(".csv")]
-        if len(names) != 1:
-            raise ValueError(f"the archive has {len(names)} CSV files, not one")
-        text = z.read(names[0]).decode("utf-8-sig")
-    import csv
-
-    rows = list(csv.reader(io.StringIO(text)))
-    head, body = [c.strip() for c in rows[0]], [tuple(r) for r in rows[1:] if len(r) == len(rows[0])]
-    return spark.createDataFrame(body, ", ".join(f"`{c}` string" for c in head))
+def read_zipped_csv(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """The one CSV of a zip archive, or of each of a folder's archives; more or fewer than one is an error. Archives are
+    read by the workers, line by line; only the header comes to the driver."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                names, lines = _csv_lines(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([len(names)]), pa.array([next(lines, []) if len(names) == 1 else []], pa.list_(pa.string()))], names=["n", "head"])
+
+    heads = files.mapInArrow(header, "n bigint, head array<string>").distinct().limit(2).collect()
+    if any(r["n"] != 1 for r in heads):
+        raise ValueError("an archive has no or several CSV files, not one")
+    if len(heads) > 1:
+        raise ValueError("the archives have different headers")
+    head = [c.strip() for c in heads[0]["head"]]
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(c, pa.string()) for c in head])
+        for batch in batches:
+            for data in batch.column(0):
+                lines = _csv_lines(data.as_py())[1]
+                next(lines, None)
+                while part := list(itertools.islice(lines, rows)):
+                    whole = [r for r in part if len(r) == len(head)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in whole], pa.string()) for k in range(len(head))], schema=kind)
+
+    return files.mapInArrow(cells, ", ".join(f"`{c}` string" for c in head))
+
+
+def _csv_lines(data: bytes) -> tuple[list[str], Iterator[list[str]]]:
+    """Names of an archive's CSV files, and the lines of the first."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    names = [n for n in z.namelist() if n.lower().endswith(".csv")]
+    return names, csv.reader(io.TextIOWrapper(z.open(names[0]), "utf-8-sig", newline="")) if names else iter(())
 
 
 def imported_reviews(raw: DataFrame, text_names: tuple[str, ...] = ("text", "review_text")) -> DataFrame:

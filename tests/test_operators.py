@@ -312,3 +312,22 @@ def test_assembled_parts(spark):
     assert one == {tuple(r) for r in assembly.split_fingerprint(rows.orderBy(F.desc("id")).repartition(3), "id", "text", "split").collect()} and len(one) == 2
     found = spark.createDataFrame([("suspicious", 1), ("suspicious", 0), ("needs-review", 1), ("genuine-looking", 0)], "classification string, label int")
     assert tuple(assembly.rule_baseline(found).first()) == (1, 1, 1, 1, 0.5, 0.5)
+
+
+def test_zipped_csv_is_read_by_workers(spark, tmp_path):
+    import zipfile
+
+    from candor.sources import files
+
+    def pack(name, **parts):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for k, v in parts.items():
+                z.writestr(k + (".csv" if k[0] != "_" else ".txt"), v)
+        return str(tmp_path / name)
+
+    body = "﻿a, b\n" + "\n".join(f'{i},"x\n{i}"' for i in range(25)) + "\nshort\n"
+    got = files.read_zipped_csv(spark, pack("one.zip", data=body, _readme="no"), rows=10)
+    assert got.columns == ["a", "b"] and sorted((int(r["a"]), r["b"]) for r in got.collect()) == [(i, f"x\n{i}") for i in range(25)]
+    for bad in (pack("none.zip", _readme="no"), pack("two.zip", x="a\n1", y="a\n2")):
+        with pytest.raises(ValueError):
+            files.read_zipped_csv(spark, bad)
