@@ -45,11 +45,16 @@ def release() -> None:
         pass
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    return f"{shared_dir(spark)}/candor/{uuid.uuid4().hex}/{name}"
+
+
 def spool(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and a lost executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/candor/{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

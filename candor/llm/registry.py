@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import attribution, bpe, collision_ann, decontaminate, langid, mixing, packing, simhash, toxicity, urlfilter
-from candor.llm.common import read
+from candor.llm import attribution, bpe, collision_ann, decontaminate, fim, langid, mixing, packing, secret_scan, simhash, toxicity, urlfilter, whitening
+from candor.llm.common import new_path, read
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(read(spark, sf_dir, "documents"), new_path(spark, "ledger"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_context_mixing, op3_decontamination, op4_token_counts, op5_language_id, op6_bpe, op7_simhash, op8_url_filters, op9_collision_ann, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_packing, op2_context_mixing, op3_decontamination, op4_token_counts, op5_language_id, op6_bpe, op7_simhash, op8_url_filters, op9_collision_ann, op10_toxicity, op11_secret_scan, op12_fill_in_middle, op13_whitening, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": urlfilter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_url_filters": urlfilter.ORACLE, "op12_fill_in_middle": fim.ORACLE}
