@@ -73,35 +73,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_key(df: DataFrame, text: str = "text") -> list[Column]:
-    """Two hashes and the length that, with its doc_id, name a row's text."""
-    t = F.coalesce(df[text], F.lit(""))
-    return [F.xxhash64(t), F.hash(t), F.octet_length(t)]
-
-
-KEY = ["_id", "_hash", "_other", "_size"]
-
-
-def same_row(df: DataFrame, listed: DataFrame) -> Column:
-    """Whether a row of ``df`` (doc_id, text) is the one that ``listed`` names by the columns of ``KEY``; nothing is added to ``df``."""
-    out = df["doc_id"].eqNullSafe(listed[KEY[0]])
-    for k, c in zip(KEY[1:], text_key(df), strict=True):
-        out = out & (c == listed[k])
-    return out
-
-
-#: Bytes of a list of rows (some 64 each, held) up to which it is broadcast.
-LIST_BYTES = 16 << 20
-
-
-def rows_listed(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` that ``listed``, a spooled table of the columns of ``KEY``, names (``how`` left_semi) or doesn't
-    (left_anti). A list of a measured size up to LIST_BYTES is broadcast, so that texts don't move; a longer one meets them in a shuffle."""
-    if listed.count() * 64 <= LIST_BYTES:
-        listed = F.broadcast(listed)
-    return docs.join(listed, same_row(docs, listed), how)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece add up to about ``limit``
     bytes (a single longer text stands alone)."""

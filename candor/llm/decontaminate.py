@@ -24,15 +24,18 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import KEY, column, rows_listed, slices, spool, strings, text_key
+from candor.llm.common import column, slices, spool, strings
+from candor.llm.rowmarks import FILE, ROW, from_files, place, without
 
 TOKENS = re.compile(r"[^\W_]+").findall
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -168,24 +171,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold:
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], _schema(docs, ids))
+    if blocks == 1:
+        return _leaks_of_block(docs, ids, items, min_match, threshold)[0]
+    # One block after another: its rows are written and its broadcast is given up before the next one is read, so neither
+    # driver nor executors hold more than a block at a time.
     parts = []
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        parts.append(_leaks_of_block(docs, ids, sorted(map(tuple, block.collect()), key=str), min_match, threshold))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], _schema(docs, ids))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found, sent = _leaks_of_block(docs, ids, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), min_match, threshold)
+        parts.append(spool(found, "leaks"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _schema(docs: DataFrame, ids: list[str]) -> T.StructType:
     return T.StructType([*docs.select(*ids).schema.fields, *T.StructType.fromDDL(LEAKS).fields])
 
 
-def _leaks_of_block(docs: DataFrame, ids: list[str], items: list[tuple[int, str]], min_match: int, threshold: float) -> DataFrame:
-    sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+def _leaks_of_block(docs: DataFrame, ids: list[str], block: DataFrame, min_match: int, threshold: float) -> tuple[DataFrame, Broadcast]:
+    """Leaks of the items of ``block``, whose texts are bounded by the caller, and the broadcast that holds them."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(sorted(map(tuple, block.collect()), key=str)), uuid.uuid4().hex
     types = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
     names = [*ids, "item_id", "coverage", "tiles", "longest", "item_tokens"]
 
@@ -209,12 +215,13 @@ def _leaks_of_block(docs: DataFrame, ids: list[str], items: list[tuple[int, str]
                 own = pa.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays([column(batch, c).take(own) for c in ids] + [pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(types)], names=names)
 
-    return docs.mapInArrow(run, _schema(docs, ids))
+    return docs.mapInArrow(run, _schema(docs, ids)), sent
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that leak an item. A clean row that shares its doc_id with a leaking one stays, as
-    rows are named by id and text; see ``rows_listed``."""
-    rows = docs.select(docs["doc_id"].alias(KEY[0]), *[c.alias(k) for k, c in zip(KEY[1:], text_key(docs), strict=True)], "text")
-    found = spool(leaks(rows, benchmark, min_match, threshold, ids=KEY).select(*KEY).distinct(), "leaks")
-    return rows_listed(docs, found, "left_anti")
+    rows are named by their file and place; see ``rowmarks``."""
+    docs = from_files(docs)
+    rows = docs.select(*place(docs), docs["text"].alias("text"))
+    found = leaks(rows, benchmark, min_match, threshold, ids=[FILE, ROW]).select(FILE, ROW)
+    return without(docs, found)

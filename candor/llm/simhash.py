@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import KEY, column, rows_listed, slices, split_count, spool, strings, text_key
+from candor.llm.common import column, slices, split_count, spool, strings
+from candor.llm.rowmarks import FILE, ROW, bitmaps, from_files, marked, place
 
 SEED = 42
 #: Fingerprints of a tile that are compared with a tile at once.
@@ -202,28 +203,22 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
 def keep_one(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """``docs`` (with doc_id, text) without the rows that another row of their group stands for: the one of the smallest
     doc_id stays (null ids last), of rows with one doc_id the one whose text has the smallest hash, of equal texts under
-    one id the first by the other columns. What goes is a list of ids and hashes: see ``rows_listed``."""
-    rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in zip(KEY[1:], text_key(docs), strict=True)])
-    prints = spool(with_fingerprints(rows, size).withColumnRenamed("doc_id", "_id"), "prints")
+    one id the first by the other columns, of rows that repeat all columns the first by file and place. What goes is marked
+    in bitmaps of the files' rows, so no text moves; see ``rowmarks``."""
+    docs = from_files(docs)
+    t = F.coalesce(docs["text"], F.lit(""))
+    rest = F.xxhash64(*[docs[f"`{c}`"].cast("string") for c in docs.columns])
+    rows = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text"), F.xxhash64(t).alias("_hash"), rest.alias("_rest"), *place(docs))
+    prints = spool(with_fingerprints(rows, size), "prints")
     placed = spool(_placed(prints, radius), "placed")
-    name = F.struct(F.col("_id").isNull(), *KEY)
+    name = F.struct(F.col("_id").isNull(), "_id", "_hash", "_rest", FILE, ROW)
     # Of one fingerprint, then of the whole group: a group's first row is found by partial sums.
     first = prints.groupBy("simhash").agg(F.min(name).alias("first")).join(placed, "simhash")
-    kept = first.groupBy("root").agg(F.min("first").alias("first"))
-    named = prints.groupBy("simhash", *KEY).agg(F.count("*").alias("n")).join(placed, "simhash").join(kept, "root")
-    marked = spool(named.select(*KEY, (name == F.col("first")).alias("stays"), "n").where("not stays or n > 1"), "marked")
-    # The list is read anew for each use, so that its size is that of its own file.
-    gone = spool(marked.select(*KEY), "gone")
-    out = rows_listed(docs, gone, "left_anti")
-    again = marked.where("stays").select(*KEY)
-    if again.isEmpty():
-        return out
-    again = spool(again, "again")
-    rest = rows_listed(docs, again, "left_semi")
-    # One of the rows that repeat an id and text, by partial sums too.
-    whole = F.struct(*[rest[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    one = rest.groupBy(rest["doc_id"].alias("_id"), *[c.alias(k) for k, c in zip(KEY[1:], text_key(rest), strict=True)]).agg(F.min_by(whole, F.xxhash64(*[rest[f"`{c}`"].cast("string") for c in docs.columns])).alias("row"))
-    return out.unionByName(one.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]))
+    kept = first.groupBy("root").agg(F.min("first").alias("kept"))
+    # Rows that stay are few beside large groups; a row goes unless it is one of them, by file and place.
+    stay = spool(kept.select(F.col(f"kept.{FILE}").alias(FILE), F.col(f"kept.{ROW}").alias(ROW)), "stay")
+    marks = bitmaps(stay, {"_stays": F.lit(True)})
+    return marked(docs, marks, ["_stays"], "_stays", [F.col(f"`{c}`") for c in docs.columns])
 
 
 def _placed(prints: DataFrame, radius: int) -> DataFrame:
