@@ -9,7 +9,7 @@ Defined results: rows whose vector is null, holds a null or non-finite entry, or
 (2^50 and more after scaling) are left out; so are vectors of another length than most (ties: the longer). A component
 without variance has a null ``whitened`` and an ``explained`` of 0 (null if nothing varies); identity_error is over the
 others, null if there are none. Repeated rows and null ids are rows like any other; empty tables give no rows. A deviation
-past the range of long is null, ``deviation_exact`` has it as a decimal. More than ``MAX_DIMS`` dimensions are an error: the plan has a sum for every pair.
+past the range of long is null, ``deviation_exact`` has it as a decimal. More than ``MAX_DIMS`` dimensions are an error.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from candor.llm.common import spool
 
-#: Dimensions up to which one aggregation with a sum for every pair can be planned.
-MAX_DIMS = 256
+#: Dimensions up to which an aggregation with a sum for each is planned, and their square held by the driver.
+MAX_DIMS = 1024
 RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double, deviation_exact decimal(38,0)"
 
 
@@ -40,18 +40,18 @@ def total(terms: list[Column]) -> Column:
     return terms[0]
 
 
-def pair_sums(entries: list[Column]) -> list[Column]:
-    """Sums of the products of every pair of ``entries``, by rows of the upper triangle."""
-    return [F.sum(a * b) for i, a in enumerate(entries) for b in entries[i:]]
-
-
 def covariance(df: DataFrame, entries: list[Column], means: list[float], n: int) -> np.ndarray:
-    """The covariance (divisor ``n``) of ``entries``, centred before they are multiplied, in one aggregation."""
+    """The covariance (divisor ``n``) of ``entries``, centred before they are multiplied, in one aggregation: a group for
+    each row of the upper triangle, with a generated sum for each column. (One group with a sum for every pair is the same
+    work, but thousands of sums at once aren't compiled.)"""
     d = len(entries)
     centred = df.select(*[(e - F.lit(m)).alias(f"c{k}") for k, (e, m) in enumerate(zip(entries, means, strict=True))])
-    row = centred.agg(*[s.alias(f"s{k}") for k, s in enumerate(pair_sums([F.col(f"c{k}") for k in range(d)]))]).first()
+    rows = centred.select("*", F.posexplode(F.array(*[f"c{k}" for k in range(d)])).alias("i", "c"))
+    sums = rows.groupBy("i").agg(*[F.sum(F.expr(f"CASE WHEN i <= {k} THEN c * c{k} END")).alias(f"s{k}") for k in range(d)])
     out = np.zeros((d, d))
-    out[np.triu_indices(d)] = np.array(row, dtype=np.float64) / n
+    for row in sums.collect():  # d rows, however many vectors
+        out[row["i"], row["i"] :] = row[1 + row["i"] :]
+    out /= n
     return np.triu(out) + np.triu(out, 1).T
 
 

@@ -170,4 +170,4 @@ def test_whitening_of_tables_without_variance(spark):
     far = whitening.whiten(vectors(spark, [(1, [1e12, 0.0]), (2, [-1e12, 1.0]), (3, [0.0, 0.5])])).collect()
     assert all(r["deviation"] is None and r["deviation_exact"] > 2**63 for r in far if r["vec_id"] == 1)
     with pytest.raises(ValueError):
-        whitening.whiten(vectors(spark, [(1, [1.0] * 300)]))
+        whitening.whiten(vectors(spark, [(1, [1.0] * 1100)]))
