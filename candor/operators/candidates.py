@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -60,22 +61,29 @@ def noise_gate(price: Column, similarity: Column, accessory: Column, source_acce
 
 def same_listing_dedupe(listings: DataFrame, keys: list[str], store: str = "store", least: float = 0.82) -> DataFrame:
     """Greedy: in input order, a listing whose title is like a kept one's of its store replaces it if it scores
-    higher, else goes. Order matters, so the listings of one source are one task's; they are the few answers of its stores."""
-
-    def dedupe(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal", kind="stable").reset_index(drop=True)
-        names, titles, scores = rows[store].tolist(), [t.lower() for t in rows["title"]], rows["match_score"].tolist()
-        kept: dict[object, list[int]] = {}
-        for i, name in enumerate(names):
-            own = kept.setdefault(name, [])
-            like = next((k for k, j in enumerate(own) if titles[i] == titles[j] or SequenceMatcher(None, titles[i], titles[j]).ratio() >= least), None)
-            if like is None:
-                own.append(i)
-            elif scores[i] > scores[own[like]]:
-                own[like] = i
-        return rows.iloc[sorted(i for own in kept.values() for i in own)]
-
-    return listings.groupBy(*keys).applyInPandas(dedupe, listings.schema)
+    higher, else goes. Order matters within a source's store only, so these are dealt to tasks, sorted, and read in one
+    pass that holds what is kept of one store."""
+    group, names = [*keys, store], listings.columns
+
+    def dedupe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []  # of each kept listing: lower-case title, score, row
+        for frame in frames:
+            done = []
+            for name, title, score, row in zip(frame[group].itertuples(index=False, name=None), frame["title"].tolist(), frame["match_score"].tolist(), frame.itertuples(index=False, name=None), strict=True):
+                if name != now:
+                    done += [r for _, _, r in kept]
+                    now, kept = name, []
+                title = (title or "").lower()
+                like = next((k for k, (t, _, _) in enumerate(kept) if t == title or SequenceMatcher(None, title, t).ratio() >= least), None)
+                if like is None:
+                    kept.append((title, score, row))
+                elif score > kept[like][1]:
+                    kept[like] = (title, score, row)
+            yield pd.DataFrame(done, columns=frame.columns)
+        if kept:
+            yield pd.DataFrame([r for _, _, r in kept], columns=names)
+
+    return listings.repartition(*group).sortWithinPartitions(*group, "ordinal").mapInPandas(dedupe, listings.schema)
 
 
 def eligible_stores(source: DataFrame, stores: DataFrame, most: int = 8) -> DataFrame:

@@ -56,3 +56,9 @@ def citation(title: str, url: str) -> tuple:
     """IEEE and BibTeX strings of a product page (K8)."""
     t, u = F.col(title), F.col(url)
     return F.format_string('"%s," [Online]. Available: %s', t, u), F.format_string("@misc{listing, title = {%s}, howpublished = {\\url{%s}}}", t, u)
+
+
+def with_first_text(labels: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Labels (review_hash, label) with the first text (by ordinal) of their hash; labels without a review are left out."""
+    first = reviews.where("text is not null").groupBy(review_hash("text").alias("review_hash")).agg(F.min_by("text", "ordinal").alias("text"))
+    return labels.join(first, "review_hash")

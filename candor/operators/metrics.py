@@ -18,14 +18,23 @@ def confusion(scored: DataFrame, keys: list[str], label: str = "label", flag: Co
     return c.withColumns({"precision": part("tp", "fp"), "recall": part("tp", "fn")})
 
 
-def by_score(scored: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
+def by_score(scored: DataFrame, keys: list[str], label: str = "label", score: str = "score", ranges: int = 256) -> DataFrame:
     """Counts of each different score with running totals from the highest, which AUC, AP and thresholds are read from.
 
-    Scores are summed up before the window, so it sorts different scores, not rows.
+    Scores are summed up first. Their span is cut into ``ranges`` of about as many scores each; a running total is that of
+    the ranges above, of which there are few, and that inside the range, which is a window of its own. So no task sorts all
+    scores, whether there are keys or not.
     """
     g = scored.groupBy(*keys, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0) if keys else Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    cuts = scored.agg(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    g = g.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda x: x <= F.col("score"))))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = g.groupBy(*keys, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    totals = totals.withColumns({"_tp": F.coalesce(F.sum("_pos").over(above), F.lit(0)), "_fp": F.coalesce(F.sum("_neg").over(above), F.lit(0))}).drop("_pos", "_neg")
+    w = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    on = [F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*keys, "_range"]]
+    both = g.alias("g").join(totals.alias("t"), on).select("g.*", "t._tp", "t._fp")
+    return both.withColumns({"tp": F.col("_tp") + F.sum("pos").over(w), "fp": F.col("_fp") + F.sum("neg").over(w)}).drop("_range", "_tp", "_fp")
 
 
 def ranking(scored: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
@@ -48,10 +57,19 @@ def threshold_for_precision(scored: DataFrame, keys: list[str], target: float, l
 
 
 def threshold_for_fpr(scored: DataFrame, keys: list[str], rate: float) -> DataFrame:
-    """The score that only ``rate`` of the negatives pass: an exact linear quantile."""
-    n = scored.where("label = 0")
-    g = n.groupBy(*keys) if keys else n.groupBy()
-    return g.agg(F.expr(f"percentile(score, {1 - rate})").alias("threshold"), F.count("*").alias("negatives"))
+    """The score that only ``rate`` of the negatives pass: an exact linear quantile (A14). Those of one score hold places
+    that follow from the running totals, so the two places around the quantile are read off, not sorted out."""
+    s = by_score(scored.where("label = 0"), keys)
+    n = s.groupBy(*keys).agg(F.sum("neg").alias("negatives")) if keys else s.agg(F.sum("neg").alias("negatives"))
+    at = n.withColumns({"_at": (F.col("negatives") - 1) * (1 - rate)}).withColumns({"_low": F.floor("_at"), "_high": F.ceil("_at")})
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
+    d = s.alias("s").join(F.broadcast(at.alias("n")), on) if keys else s.crossJoin(F.broadcast(at))  # one row, or one a key
+    d = d.select(*[F.col(f"s.{k}") if keys else k for k in keys], "score", "neg", "fp", "negatives", "_at", "_low", "_high")
+    first = F.col("negatives") - F.col("fp")
+    holds = lambda place: F.col(place).between(first, first + F.col("neg") - 1)
+    g = d.groupBy(*keys, "negatives", "_at", "_low")
+    found = g.agg(F.max(F.when(holds("_low"), F.col("score"))).alias("_a"), F.max(F.when(holds("_high"), F.col("score"))).alias("_b"))
+    return found.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.col("_low"))).alias("threshold"), "negatives")
 
 
 def class_weights(labels: DataFrame, label: str) -> DataFrame:
@@ -65,9 +83,14 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     """Discordant counts of two classifiers and the exact two-sided probability, from log-binomials."""
     c = pairs.agg(F.sum((F.col("a_right") & ~F.col("b_right")).cast("long")).alias("a_only"), F.sum((~F.col("a_right") & F.col("b_right")).cast("long")).alias("b_only"))
     n, k = F.col("a_only") + F.col("b_only"), F.least("a_only", "b_only")
-    # ln C(n, i) by sums of logs; n is the number of disagreements.
-    log_c = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), F.array(F.lit(0.0)), lambda acc, i: F.when(i <= k, F.concat(acc, F.array(F.element_at(acc, -1) + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))))).otherwise(acc))
-    tail = F.aggregate(log_c, F.lit(0.0), lambda s, x: s + F.exp(x - n * math.log(2)))
+    # ln C(n, i) by a running sum of logs, and the tail beside it; n is the number of disagreements.
+    start = F.struct(F.lit(0.0).alias("log_c"), F.exp(-n * math.log(2)).alias("tail"))
+
+    def step(s: Column, i: Column) -> Column:
+        grown = s["log_c"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.when(i <= k, F.struct(grown.alias("log_c"), (s["tail"] + F.exp(grown - n * math.log(2))).alias("tail"))).otherwise(s)
+
+    tail = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["tail"]
     return c.withColumn("p_value", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.functions import text as tx
+from candor.sources.staging import staged
 
 #: Lexicons and phrases of ordinary English and Hindi reviews (fixed values).
 POSITIVE = ("great", "excellent", "amazing", "good", "awesome", "perfect", "love", "best", "superb", "nice", "original", "authentic")
@@ -140,3 +141,39 @@ def layered(layers: DataFrame, key: str, text: str, priority: Column, limit: int
     if limit is not None:
         kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_p", "ordinal"))).where(F.col("_r") <= limit)
     return kept.drop("_k", "_p", "_r")
+
+
+def conditional_layers(keys: DataFrame, layers: Sequence[DataFrame], key: str, text: str, enough: int = 3, limit: int | None = None) -> DataFrame:
+    """Rows of layers (``key``, ``text``, ordinal) in order, where the next layer is asked only for keys of which the ones
+    before gave fewer than ``enough`` different texts (S11). Adds ``layer``. A text comes once for a key, from the first
+    layer that has it; keys without rows stay open to the end; at most ``limit`` rows for each key if asked.
+
+    What was found so far is written after each layer, so a layer reads it instead of working it out again.
+    """
+    open_keys, found = keys.select(key).distinct(), None
+    for k, layer in enumerate(layers):
+        cols = [c for c in layer.columns if c != key]
+        asked = layer.join(open_keys, key, "left_semi").withColumn("_k", tx.review_key(text)).where("_k <> ''")
+        fresh = asked.groupBy(key, "_k").agg(F.min_by(F.struct(*cols), "ordinal").alias("r")).select(key, "_k", "r.*", F.lit(k).alias("layer"))
+        if found is not None:
+            fresh = fresh.join(found.select(key, "_k"), [key, "_k"], "left_anti")
+        found = staged(fresh if found is None else found.unionByName(fresh), f"layer{k}")
+        if k + 1 < len(layers):
+            enough_of = found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+            open_keys = staged(open_keys.join(enough_of, key, "left_anti"), f"open{k}")
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy(key).orderBy("layer", "ordinal"))
+        found = found.withColumn("_r", place).where(F.col("_r") <= limit).drop("_r")
+    return found.drop("_k")
+
+
+def partial_result(products: DataFrame, reviews: DataFrame, collected: DataFrame, key: str) -> DataFrame:
+    """Products (``key``, review_count, reported_total) while answers still come in (R11): ``n_reviews`` of the first pass
+    (``key``, text) and of what was collected beyond its texts, and the count as stated, else as reported, else as found."""
+    low = lambda d: d.select(key, F.lower("text").alias("_t"))
+    known = low(reviews)
+    fresh = low(collected).join(known.distinct(), [key, "_t"], "left_anti")
+    n = known.union(fresh).groupBy(key).agg(F.count("*").alias("n_reviews"))
+    filled = lambda c: F.nullif(F.col(c), F.lit(0))
+    j = products.join(n, key, "left").withColumn("n_reviews", F.coalesce("n_reviews", F.lit(0)))
+    return j.withColumn("review_count", F.coalesce(filled("review_count"), filled("reported_total"), "n_reviews")).select(key, "n_reviews", "review_count")

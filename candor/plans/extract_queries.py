@@ -5,8 +5,6 @@ No table holds product markup, so pages are made from parts; their SQL reads the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from candor.functions import urls
 from candor.operators import candidates, extract, labels, metrics, model, prices
 from candor.plans.price_queries import DEBOUNCE
 from candor.sources import tables as src
+from candor.sources.staging import shared_folder
 from candor.streaming import observations
 
 
@@ -128,16 +127,6 @@ SELECT source_id, store, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number()
 """
 
 
-def stream_folder(spark: SparkSession) -> str:
-    """A folder for a stream's state and output where all executors can read it."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir") + "/.candor"
-    return f"{found}/candor-stream/{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     batch = spark.read.parquet(path)
@@ -150,7 +139,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of closed days from the event stream; a day closes with the first event a watermark later (ST4)."""
-    folder = stream_folder(spark)
+    folder = shared_folder(spark, "stream")
     counts = observations.daily_counts(event_stream(spark, sf_dir), "user_id", "ts")
     counts.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{folder}/out")
@@ -158,7 +147,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch suppression of ``price_debounce``, on the stream (ST1)."""
-    folder = stream_folder(spark)
+    folder = shared_folder(spark, "stream")
     points = event_stream(spark, sf_dir).select("user_id", F.col("ts").alias("observed_at"), F.floor(F.col("value") / 50.0).cast("double").alias("price"))
     kept = observations.suppressed(points, "user_id", minutes=720)
     kept.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

@@ -42,7 +42,7 @@ lex AS (SELECT *, (SELECT count(*) FROM (VALUES {", ".join(f"('{w}')" for w in G
 sent AS (SELECT *, CASE WHEN p + q > 0 THEN round((p - q) / (p + q), 2) ELSE 0.0 END AS sentiment, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n_words, CAST(doc_id % 5 + 1 AS INTEGER) AS rating FROM lex)
 """.replace("\\\\s", "\\s")
 FINDINGS_SQL = f"""
-{PAIRS_SQL}, dup AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs), {SENTIMENT_SQL},
+{WHOLE_SQL}, near AS (SELECT a AS id FROM cp UNION SELECT b FROM cp), dup AS (SELECT gs.id FROM gs JOIN cl USING (g) WHERE cl.c > 1 OR cl.id IN (SELECT id FROM near)), {SENTIMENT_SQL},
 f AS (
   SELECT doc_id AS review_id, source AS product, text, rating, sentiment, n_words, doc_id IN (SELECT id FROM dup) AS nd,
          regexp_matches(lower(text), '{PROMO[0]}') OR regexp_matches(lower(text), '{PROMO[1]}') AS promo, rating >= 4 AND sentiment <= -0.4 AS over_, rating <= 2 AND sentiment >= 0.5 AS under_, n_words <= 4 AND rating = 5 AND sentiment > 0.5 AS praise
@@ -62,7 +62,7 @@ f AS (
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = src.reviews(spark, sf_dir)
-    dup = neardup.flagged(r, "review_id", "text").select(F.col("id").alias("review_id"), F.lit(True).alias("near_duplicate"))
+    dup = neardup.whole_flagged(r, "review_id", "text").select(F.col("id").alias("review_id"), F.lit(True).alias("near_duplicate"))
     marked = r.join(dup, "review_id", "left").withColumn("near_duplicate", F.coalesce("near_duplicate", F.lit(False)))
     return reviews.rule_findings(marked, GOOD, BAD, PROMO)
 
@@ -86,6 +86,11 @@ def neardup_whole_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.whole_flagged(src.table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def neardup_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates within a product: by characters in small products, by grams in those of over 150 texts."""
+    return neardup.exact_flagged(src.table(spark, sf_dir, "documents"), "source", "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.exact_groups(src.table(spark, sf_dir, "documents"), "doc_id", tx.review_hash("text")).select(F.col("key").alias("review_hash"), "first_id", "n")
 
@@ -241,7 +246,7 @@ SELECT conv_id, turn, role FROM a QUALIFY row_number() OVER (PARTITION BY conv_i
 
 QUERIES = {
     f.__name__: f
-    for f in (neardup_trigram_pairs, neardup_flagged, neardup_whole_classes, neardup_whole_flagged, exact_duplicate_groups, distinct_ratio_by_source, sentiment_lexicon, review_rule_findings, two_way_verdict, model_merge, trust_score_by_source, findings_summary, latin_gate, event_burst_zscore, burst_peaks, layered_review_merge)
+    for f in (neardup_trigram_pairs, neardup_flagged, neardup_whole_classes, neardup_whole_flagged, neardup_by_product, exact_duplicate_groups, distinct_ratio_by_source, sentiment_lexicon, review_rule_findings, two_way_verdict, model_merge, trust_score_by_source, findings_summary, latin_gate, event_burst_zscore, burst_peaks, layered_review_merge)
 }
 ORACLE_SQL = {
     "neardup_trigram_pairs": f"WITH {PAIRS_SQL} SELECT a, b, overlap, round(jaccard, 6) AS jaccard FROM pairs",

@@ -44,8 +44,9 @@ def read_zipped_csv(spark: SparkSession, path: str, rows: int = 10_000) -> DataF
                 lines = _csv_lines(data.as_py())[1]
                 next(lines, None)
                 while part := list(itertools.islice(lines, rows)):
-                    whole = [r for r in part if len(r) == len(head)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in whole], pa.string()) for k in range(len(head))], schema=kind)
+                    # A short line lacks its last cells, a long one has more than the header names: both are rows.
+                    whole = [r for r in part if r]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in whole], pa.string()) for k in range(len(head))], schema=kind)
 
     return files.mapInArrow(cells, ", ".join(f"`{c}` string" for c in head))
 
@@ -91,7 +92,7 @@ def price_history(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(kind).parquet(path)
+        return spark.read.schema(kind).parquet(path).select("url", "observed_at", "price")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -259,7 +259,7 @@ def test_exact_mode_of_small_groups(spark):
     near = "a fine kettle that boils water for tea quickly"
     rows = [("p", 1, near), ("p", 2, near + "."), ("p", 3, near.replace("fine", "fino")), ("p", 4, "a b c"), ("p", 5, "a b c"), ("q", 6, near), (None, 7, near), (None, 8, near)] + [("r", 100 + i, near) for i in range(151)]
     d = spark.createDataFrame(rows, "g string, id int, text string")
-    assert sorted(r["id"] for r in neardup.exact_flagged(d, "g", "id", "text").collect()) == [1, 2, 3, 7, 8]
+    assert sorted(r["id"] for r in neardup.exact_flagged(d, "g", "id", "text").collect()) == [1, 2, 3, 7, 8] + [100 + i for i in range(151)]  # the large group by its grams
 
 
 def test_all_titles_of_a_block_are_paired(spark, tmp_path):
@@ -327,7 +327,8 @@ def test_zipped_csv_is_read_by_workers(spark, tmp_path):
 
     body = "﻿a, b\n" + "\n".join(f'{i},"x\n{i}"' for i in range(25)) + "\nshort\n"
     got = files.read_zipped_csv(spark, pack("one.zip", data=body, _readme="no"), rows=10)
-    assert got.columns == ["a", "b"] and sorted((int(r["a"]), r["b"]) for r in got.collect()) == [(i, f"x\n{i}") for i in range(25)]
+    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == ["a", "b"] and sorted((int(a), b) for a, b in rows if a != "short") == [(i, f"x\n{i}") for i in range(25)] and ("short", None) in rows
     for bad in (pack("none.zip", _readme="no"), pack("two.zip", x="a\n1", y="a\n2")):
         with pytest.raises(ValueError):
             files.read_zipped_csv(spark, bad)
