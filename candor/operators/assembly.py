@@ -46,16 +46,23 @@ def merged_source(scraped: DataFrame, declared: DataFrame, key: str) -> DataFram
 
 def translation(df: DataFrame, text: str, table: DataFrame, name: str = "translation", least: float = 0.6) -> DataFrame:
     """``df`` with the known translation of a text: by equality of the lower case, else of the first entry (by ``ordinal``) whose
-    sequence ratio is over ``least`` (F39). ``table``: (original, translated, ordinal), small by contract; its entries stand
-    in one array, so a text meets them without a join of all pairs."""
-    known = [(r["original"], r["translated"]) for r in table.orderBy("ordinal").collect()]
-    low = F.lower(col(text))
-    out = F.when(F.lit(False), "")
-    for original, translated in known:
-        out = out.when(low == F.lit(original), translated)
-    for original, translated in known:
-        out = out.when(similarity.sequence_ratio(F.lit(original), low) > least, translated)
-    return df.withColumn(name, out)
+    sequence ratio is over ``least`` (F39). ``table``: (original, translated, ordinal), of any size.
+
+    Different texts are looked up once. Those without an equal entry meet the entries that share three characters in a row
+    and whose length allows the ratio; only such pairs are compared."""
+    low = df.select(F.lower(col(text)).alias("_t")).where("_t is not null").distinct()
+    entries = table.select(F.col("original").alias("_o"), "translated", "ordinal")
+    equal = entries.groupBy("_o").agg(F.min_by("translated", "ordinal").alias("_x"))
+    known = low.join(equal, F.col("_t") == F.col("_o"), "left").select("_t", "_x")
+    longest = table.agg(F.max(F.char_length("original"))).first()[0] or 0
+    reach = 2 / least - 1  # twice the shorter over both lengths is at most the ratio
+    threes = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
+    open_ = known.where(F.col("_x").isNull() & (F.char_length("_t") <= longest * reach)).select("_t", F.explode(threes(F.col("_t"))).alias("_g"))
+    met = open_.join(entries.select("*", F.explode(threes(F.col("_o"))).alias("_g")), "_g").select("_t", "_o", "translated", "ordinal").distinct()
+    fits = F.greatest(F.char_length("_t"), F.char_length("_o")) <= F.least(F.char_length("_t"), F.char_length("_o")) * reach
+    like = met.where(fits).where(similarity.sequence_ratio("_o", "_t") > least).groupBy("_t").agg(F.min_by("translated", "ordinal").alias("_y"))
+    found = known.join(like, "_t", "left").select("_t", F.coalesce("_x", "_y").alias("_found"))
+    return df.join(found, F.lower(col(text)) == F.col("_t"), "left").withColumn(name, F.col("_found")).drop("_t", "_found")
 
 
 def labelled_findings(findings: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

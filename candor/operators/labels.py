@@ -40,7 +40,7 @@ def largest_dataset(rows: DataFrame) -> DataFrame:
 
 def mapped(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows with the label that a mapping (dataset_name, raw_label, label) gives; never guessed, and one row for each text."""
-    known = rows.join(F.broadcast(mapping.dropDuplicates(["dataset_name", "raw_label"])), ["dataset_name", "raw_label"])
+    known = rows.join(mapping.dropDuplicates(["dataset_name", "raw_label"]), ["dataset_name", "raw_label"])
     return known.groupBy(review_hash("text").alias("review_hash")).agg(F.min_by(F.struct("text", "label"), F.col("ordinal")).alias("x")).select("review_hash", "x.*")
 
 

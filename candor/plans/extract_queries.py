@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions import urls
-from candor.operators import candidates, extract, labels, metrics, model, prices
+from candor.operators import assembly, candidates, extract, labels, metrics, model, prices
 from candor.plans.price_queries import DEBOUNCE
 from candor.sources import tables as src
 from candor.sources.staging import shared_folder
@@ -82,6 +82,32 @@ def review_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ranking(p.select("label", "score"), []).select("positives", "negatives", "roc_auc", "average_precision", "brier")
 
 
+def leave_one_source_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity by language as a source that the model never saw: recall and false alarms of each (ML5)."""
+    d = src.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(src.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id").where("lang is not null and label is not null")
+    groups = [r[0] for r in d.select("lang").distinct().orderBy("lang").collect()]  # languages: few
+    p = model.leave_one_out(d.withColumn("weight", F.when(F.col("label") == 1, 5.0).otherwise(1.0)), "lang", groups)
+    return assembly.source_recall(p, "lang")
+
+
+def review_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten terms that speak most for either side of the toxic label."""
+    d = src.table(spark, sf_dir, "documents").select("doc_id", "text").join(src.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    fitted = model.train(d.where("label is not null"), features=1 << 14)
+    return model.top_terms(model.term_weights(fitted, d)).select("side", "rank", "term", F.round("weight", 4).alias("weight"))
+
+
+def second_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made pages read twice, every other second read being a bare one: the better of each two."""
+    pages = made_pages(spark, sf_dir)
+    late = pages.withColumn("html", F.when(F.col("part_id") % 2 == 0, F.lit("<p>wait</p>")).otherwise(F.col("html")))
+    best = extract.better_read(extract.products(extract.read_pages(pages)), extract.products(extract.read_pages(late)), "part_id")
+    return best.select("part_id", F.col("p_title").alias("title"), F.col("p_price").alias("price"), "structured")
+
+
+READS = "SELECT p_partkey AS part_id, p_name || ' ' || p_brand AS title, CASE WHEN p_partkey % 4 < 3 THEN CAST(printf('%.2f', p_retailprice) AS DOUBLE) END AS price, p_partkey % 4 < 2 AS structured FROM part"
+
+
 def largest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.largest_dataset(src.table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset")))
 
@@ -171,9 +197,9 @@ POINTS = "WITH p AS (SELECT DISTINCT l_partkey AS part_id, l_shipdate, l_extende
 
 QUERIES = {
     f.__name__: f
-    for f in (product_extract, declared_reviews, provider_reviews, same_listing_dedupe, review_model_metrics, largest_source, label_counts_by_lang, mapped_labels, eligible_stores, stream_daily_counts, stream_debounce, store_search_urls, price_points_distinct)
+    for f in (product_extract, declared_reviews, provider_reviews, same_listing_dedupe, review_model_metrics, leave_one_source_out, review_terms, second_reads, largest_source, label_counts_by_lang, mapped_labels, eligible_stores, stream_daily_counts, stream_debounce, store_search_urls, price_points_distinct)
 }
 ORACLE_SQL = {
-    "product_extract": PRODUCT, "declared_reviews": DECLARED, "provider_reviews": PROVIDER, "largest_source": LARGEST, "label_counts_by_lang": COUNTS, "mapped_labels": MAPPED, "eligible_stores": ELIGIBLE, "store_search_urls": SEARCH, "price_points_distinct": POINTS,
+    "product_extract": PRODUCT, "second_reads": READS, "declared_reviews": DECLARED, "provider_reviews": PROVIDER, "largest_source": LARGEST, "label_counts_by_lang": COUNTS, "mapped_labels": MAPPED, "eligible_stores": ELIGIBLE, "store_search_urls": SEARCH, "price_points_distinct": POINTS,
     "stream_debounce": DEBOUNCE.replace("SELECT user_id, ts AS observed_at, event_id, price FROM walk", "SELECT user_id, ts AS observed_at, price FROM walk"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: How late an event may be; later ones are counted apart by ``late_rows``.
+#: How late an event may be; later ones are dropped by the state store's watermark.
 WATERMARK = "1 day"
 
 

@@ -10,7 +10,7 @@ from candor.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"same_listing_dedupe", "review_model_metrics"}
+SLOW = {"same_listing_dedupe", "review_model_metrics", "leave_one_source_out"}
 
 
 def plain(v):

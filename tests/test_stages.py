@@ -159,3 +159,20 @@ def test_conditions_boxes_and_packs(spark):
     assert [r[0] for r in d.select(identity.is_accessory(F.col("t"))).collect()] == [False, False, True, False, True, False, False, True]
     d = spark.createDataFrame([("soap pack of 3 x 2 4pcs 5-pack set of 200 x7",)], "t string")
     assert sorted(d.select(identity.pack_sizes(identity.words(F.col("t")))).first()[0]) == [2.0, 3.0, 4.0, 5.0, 7.0]
+
+
+def test_a_left_out_source_is_scored_by_a_model_without_it(spark):
+    from candor.operators import model
+
+    words = {1: "scum idiot trash worthless", 0: "kind fair mild warm"}
+    rows = [(f"{words[i % 2]} w{i % 7} {'abc'[i % 3]}", i % 2, "abc"[i % 3]) for i in range(60)]
+    d = spark.createDataFrame(rows, "text string, label int, source string")
+    got = model.leave_one_out(d, "source", ["a", "b", "c"], features=1 << 10)
+    assert got.count() == 60 and got.columns == ["text", "label", "source", "probability"]
+    other = model.probabilities(model.train(d.where("source <> 'b'"), features=1 << 10), d.where("source = 'b'"))
+    a, b = ({r["text"]: r["probability"] for r in x.collect()} for x in (got.where("source = 'b'"), other))
+    assert all(abs(a[t] - b[t]) < 0.05 and (a[t] > 0.5) == (b[t] > 0.5) for t in b)
+    terms = model.top_terms(model.term_weights(model.train(d, features=1 << 14), d), 3).collect()
+    assert {r["term"] for r in terms if r["side"] == "fake"} <= {w for x in (words[1].split(),) for w in x} | {"scum idiot", "idiot trash", "trash worthless"} and [r["rank"] for r in terms] == [1, 2, 3, 1, 2, 3]
+    high = model.highlights(d.withColumn("k", d["text"]), "k", model.term_weights(model.train(d, features=1 << 14), d), 2).where("rank = 1").collect()
+    assert all("kind" not in r["term"] for r in high)
