@@ -22,3 +22,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession, 'stage')}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` to as many tasks as the session's shuffles have, or as it has cores. For rows whose work
+    outweighs their bytes: files and adaptive merging go by bytes and would leave them to one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
