@@ -14,15 +14,16 @@ WATERMARK = "1 day"
 
 
 def suppressed(stream: DataFrame, key: str, minutes: int = 30) -> DataFrame:
-    """A stream of (key, observed_at, price) without rows that repeat the last kept price within ``minutes`` (ST1)."""
+    """A stream of (key, observed_at, ordinal, price) without rows that repeat the last kept price within ``minutes`` (ST1).
+    As in the batch rule, times count in whole seconds, and rows of one time go by their ordinal."""
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, last = state.get if state.exists else (None, None)
         rows = []
-        for r in pd.concat(list(frames)).sort_values("observed_at", kind="stable").itertuples():
-            now = r.observed_at.value // 1000
-            if at is None or r.price != last or now - at >= minutes * 60_000_000:
+        for r in pd.concat(list(frames)).sort_values(["observed_at", "ordinal"], kind="stable").itertuples():
+            now = r.observed_at.value // 1_000_000_000
+            if at is None or r.price != last or now - at >= minutes * 60:
                 at, last = now, float(r.price)
                 rows.append((k[0], r.observed_at, last))
         state.update((at, last))

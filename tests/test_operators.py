@@ -353,3 +353,17 @@ def test_eligible_stores_against_all_stores(spark):
     assert found == plain
     plan = candidates.eligible_stores(d, registry)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [source_id" not in plan and "Window [row_number() windowspecdefinition(source_id" not in plan
+
+
+def test_stream_suppression_counts_whole_seconds_and_breaks_ties(spark, tmp_path):
+    from candor.streaming import observations
+
+    ms = lambda n: timedelta(milliseconds=n)
+    rows = [("a", T0 + ms(900), 1, 1.0), ("a", T0 + timedelta(minutes=30) + ms(100), 2, 1.0), ("b", T0, 3, 2.0), ("b", T0, 2, 1.0), ("b", T0, 1, 2.0)]
+    d = spark.createDataFrame(rows, "k string, observed_at timestamp, ordinal long, price double")
+    d.coalesce(1).write.parquet(f"{tmp_path}/in")
+    kept = observations.suppressed(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in"), "k", 30)
+    kept.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["k"], r["observed_at"], r["price"]) for r in spark.read.schema(kept.schema).parquet(f"{tmp_path}/out").collect())
+    batch = sorted((r["k"], r["observed_at"], r["price"]) for r in prices.debounced(d, "k", 30).collect())
+    assert got == batch and len(got) == 5
