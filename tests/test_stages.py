@@ -190,3 +190,19 @@ def test_cards_of_ids_of_seven_digits_equal_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     want = con.execute(f"SELECT page_id, address, title, price, mrp, rating, image_url, out_of_stock FROM ({collect_queries.CARDS})").fetchall()
     assert sorted(map(tuple, collect_queries.product_cards(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_pairs_of_titles_are_worked_out_once_for_each_two(spark, tmp_path):
+    """Equal titles are one pair of titles whose parts come out each; words are read below the join, pairs aren't dealt anew."""
+    from candor.plans import match_queries
+
+    rows = [(i * 50, ("old ring", "hot bolt")[i % 3 == 0], "Brand#1", "LARGE", i % 2 + 1, 900.0) for i in range(9)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    ids = [r[0] for r in rows]
+    for query in (match_queries.title_jaccard_pairs, match_queries.title_ratio_pairs):
+        found = query(spark, str(tmp_path))
+        assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == [(a, b) for a in ids if a % 100 == 0 for b in ids if a != b]
+    for query in (match_queries.title_jaccard_pairs, match_queries.title_class_jaccard, match_queries.match_score_jaccard):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Join Inner")]
+        assert "RepartitionByExpression" not in above and ("regexp_replace" not in above or query is match_queries.match_score_jaccard)
