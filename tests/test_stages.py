@@ -206,3 +206,11 @@ def test_pairs_of_titles_are_worked_out_once_for_each_two(spark, tmp_path):
         plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         above = plan[: plan.index("Join Inner")]
         assert "RepartitionByExpression" not in above and ("regexp_replace" not in above or query is match_queries.match_score_jaccard)
+
+
+def test_lengths_of_vectors_are_worked_out_below_the_join(spark):
+    from candor.plans import metric_queries
+
+    plan = metric_queries.vector_pair_verdict(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "SQRT" not in above and "SQRT" in below
