@@ -80,8 +80,8 @@ def trust_score(findings: DataFrame, products: DataFrame, key: str) -> DataFrame
 
     ``products`` has key, has_title, has_price, has_image, rating; products without findings have no score.
     """
-    # Distinct texts by a two-step count: (key, text) first, so that a product with most reviews isn't one task's.
-    texts = findings.groupBy(key, "text").agg(F.count("*").alias("n"), F.sum((F.col("classification") == "suspicious").cast("long")).alias("s"), F.count("probability").alias("m"))
+    # Distinct texts by a two-step count: (key, digest of the text) first, so that a product with most reviews isn't one task's.
+    texts = findings.groupBy(key, F.sha2("text", 256).alias("text")).agg(F.count("*").alias("n"), F.sum((F.col("classification") == "suspicious").cast("long")).alias("s"), F.count("probability").alias("m"))
     per = texts.groupBy(key).agg(F.sum("n").alias("n_reviews"), F.sum("s").alias("n_suspicious"), F.count("text").alias("n_distinct"), F.sum("m").alias("n_scored"))
     j = products.join(per, key, "left")
     some = F.coalesce(F.col("n_reviews") > 0, F.lit(False))

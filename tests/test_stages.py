@@ -134,6 +134,16 @@ def test_sixty_equal_texts_and_a_hot_gram(spark):
     assert len(want) == 60
 
 
+def test_whole_gram_sets_are_neither_written_nor_kept_but_for_pairs_that_met(spark, monkeypatch):
+    """Only keys are written of all texts; sets with their grams only of the two that share rare grams."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(20)] + ["w0x0 " + " ".join(f"w0x{k}" for k in range(1, 11)) + " last"]
+    d = spark.createDataFrame(list(enumerate([*texts, texts[3], texts[3]])), "id int, text string")
+    written, real = [], neardup.staged
+    monkeypatch.setattr(neardup, "staged", lambda df, name: written.append(real(df, name)) or written[-1])
+    assert sorted(r["id"] for r in neardup.whole_flagged(d, "id", "text").collect()) == [0, 3, 20, 21, 22]
+    assert max(t.count() for t in written if "g" in t.columns) == 2
+
+
 def test_running_totals_by_ranges(spark):
     rows = [(i % 2, round((i * 37 % 101) / 101, 3), "ab"[i % 3 == 0]) for i in range(400)] + [(0, 0.5, "a")] * 50
     d = spark.createDataFrame(rows, "label int, score double, k string")
