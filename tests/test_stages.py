@@ -144,6 +144,18 @@ def test_whole_gram_sets_are_neither_written_nor_kept_but_for_pairs_that_met(spa
     assert max(t.count() for t in written if "g" in t.columns) == 2
 
 
+def test_pairs_are_told_apart_where_they_meet(spark):
+    """A pair that shares two keys comes once, with what was read of both, and no pair is dealt again to be told apart."""
+    a = matching.read_sources(spark.createDataFrame([(1, "Acme steel kettle 17", "acme")], "a int, s_title string, s_brand string")).select("*", F.lit(2.0).alias("s_price"))
+    b = matching.read_listings(spark.createDataFrame([(2, "Acme steel kettle 17"), (3, "Acme kettle steel 17 new"), (4, "Bolt")], "b int, c_title string"))
+    pairs = blocking.candidates(a, b, "a", "b", rare=1)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not plan.lstrip().startswith("Aggregate")
+    wide = blocking.candidates(a, b, "a", "b", rare=1, whole=True)
+    assert set(wide.columns) == {*a.columns, *b.columns} and {r["c_title"] for r in wide.collect()} == {"Acme steel kettle 17", "Acme kettle steel 17 new"}
+
+
 def test_running_totals_by_ranges(spark):
     rows = [(i % 2, round((i * 37 % 101) / 101, 3), "ab"[i % 3 == 0]) for i in range(400)] + [(0, 0.5, "a")] * 50
     d = spark.createDataFrame(rows, "label int, score double, k string")
