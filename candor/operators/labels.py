@@ -39,9 +39,11 @@ def largest_dataset(rows: DataFrame) -> DataFrame:
 
 
 def mapped(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Rows with the label that a mapping (dataset_name, raw_label, label) gives; never guessed, and one row for each text."""
-    known = rows.join(mapping.dropDuplicates(["dataset_name", "raw_label"]), ["dataset_name", "raw_label"])
-    return known.groupBy(review_hash("text").alias("review_hash")).agg(F.min_by(F.struct("text", "label"), F.col("ordinal")).alias("x")).select("review_hash", "x.*")
+    """Rows with the label that a mapping (dataset_name, raw_label, label) gives; never guessed, and one row for each text. The
+    mapping is a small registry: raw labels are few, so rows dealt by them would be few tasks' work."""
+    known = rows.join(F.broadcast(mapping.dropDuplicates(["dataset_name", "raw_label"])), ["dataset_name", "raw_label"])
+    of = lambda n: F.min_by(n, "ordinal").alias(n)  # noqa: E731  each by itself: a text that isn't asked for stays where it is
+    return known.groupBy(review_hash("text").alias("review_hash")).agg(of("text"), of("label"))
 
 
 def unknown_texts(rows: DataFrame, known: DataFrame) -> DataFrame:

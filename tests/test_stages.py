@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from candor.operators import blocking, cards, cascade, matching, metrics, neardup, reviews, state_walk
+from candor.operators import blocking, cards, cascade, labels, matching, metrics, neardup, reviews, state_walk
 from candor.plans import match_queries
 from candor.sources import keyed
 
@@ -156,6 +156,16 @@ def test_pairs_are_told_apart_where_they_meet(spark):
     assert set(wide.columns) == {*a.columns, *b.columns} and {r["c_title"] for r in wide.collect()} == {"Acme steel kettle 17", "Acme kettle steel 17 new"}
 
 
+def test_labels_are_mapped_where_the_rows_are(spark):
+    """Two raw labels don't deal all texts to two tasks, and a label alone takes no text along."""
+    mapping = spark.createDataFrame([("d", "L0", "real"), ("d", "L1", "fake"), ("d", "L1", "fake")], "dataset_name string, raw_label string, label string")
+    rows = spark.createDataFrame([("d", "L1", "A  text", 5), ("d", "L0", "a text", 3), ("d", "L2", "other", 1), (None, "L0", "x", 2), ("d", "L0", None, 4)], "dataset_name string, raw_label string, text string, ordinal long")
+    got = labels.mapped(rows, mapping)
+    assert sorted((r["text"] or "", r["label"]) for r in got.collect()) == [("", "real"), ("a text", "real")]
+    plan = got.select("review_hash", "label")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "min_by(text" not in plan
+
+
 def test_running_totals_by_ranges(spark):
     rows = [(i % 2, round((i * 37 % 101) / 101, 3), "ab"[i % 3 == 0]) for i in range(400)] + [(0, 0.5, "a")] * 50
     d = spark.createDataFrame(rows, "label int, score double, k string")
