@@ -74,6 +74,21 @@ def test_cascade_chooses_as_if_every_likeness_were_known(spark):
     assert m.where("outcome = 'not chosen'").count() == len(scored) - len(got)
 
 
+def test_sources_that_share_a_search_get_what_their_own_answers_give(spark):
+    """Without themselves; of a shared address the next answer takes their place; a title's price counts for each answer."""
+    s = spark.createDataFrame([(1, "q", TITLE, "Samsung", 21999.0), (2, "q", NEXT[0], "Samsung", 100.0)], "source_id long, search string, s_title string, s_brand string, s_price double")
+    answers = [(1, TITLE, "https://croma.example/a", 21999.0), (3, EXACT[0], "https://croma.example/a", 21999.0), (4, EXACT[0], "https://croma.example/b", 100.0), (2, NEXT[0], "https://croma.example/c", 17999.0), (5, CASE[0], "https://croma.example/d", 399.0), (6, EXACT[0], None, 1.0)]
+    shared = spark.createDataFrame([("q", k, "Croma", k, t, u, p, False) for k, t, u, p in answers], "search string, own long, store string, ordinal long, c_title string, c_url string, c_price double, out_of_stock boolean")
+    alone = shared.join(s.select("source_id")).where("own <> source_id").drop("search", "own")
+    links, details = spark.createDataFrame([], "url_key string, state string"), spark.createDataFrame([], "url_key string, ordinal int, status string, seen_state string")
+    columns = ["source_id", "ordinal", "pool", "rank", "score", "status", "relation", "closeness", "outcome"]
+    one, other = cascade.merge(s, shared, links, details, ratio=False), cascade.merge(s.drop("search"), alone, links, details, ratio=False)
+    got = {tuple(r) for r in one.select(*columns).collect()}
+    assert got == {tuple(r) for r in other.select(*columns).collect()} and {r[:2] for r in got} == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (2, 4), (2, 5)}
+    assert {(r[1], r[5]) for r in got if r[0] == 1 and r[1] in (3, 4)} == {(3, "verified"), (4, None)}
+    assert sorted(map(tuple, cascade.attempts(shared, one, s).collect())) == sorted(map(tuple, cascade.attempts(alone, other).collect()))
+
+
 def test_layers_are_asked_only_below_three(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k int, text string, ordinal int")
     first = rows((1, "a b", 0), (1, "c", 1), (1, "d", 2), (2, "x", 0), (2, "X", 1), (3, " ", 0))
