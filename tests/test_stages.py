@@ -89,6 +89,22 @@ def test_sources_that_share_a_search_get_what_their_own_answers_give(spark):
     assert sorted(map(tuple, cascade.attempts(shared, one, s).collect())) == sorted(map(tuple, cascade.attempts(alone, other).collect()))
 
 
+def test_training_reads_each_text_once(spark):
+    """Counts of grams are kept between the passes of a fit."""
+    from candor.operators import model
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    d = spark.createDataFrame([(f"good thing number {k}" if k % 2 else f"bad junk of kind {k}", k % 2) for k in range(8)], "text string, label int")
+    fitted = model.train(d.withColumn("text", F.udf(look)("text")), features=1 << 8)
+    assert seen.value == 8
+    assert all((r["probability"] > 0.5) == (r["label"] == 1) for r in model.probabilities(fitted, d).collect())
+
+
 def test_layers_are_asked_only_below_three(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k int, text string, ordinal int")
     first = rows((1, "a b", 0), (1, "c", 1), (1, "d", 2), (2, "x", 0), (2, "X", 1), (3, " ", 0))
