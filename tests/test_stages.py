@@ -105,6 +105,27 @@ def test_training_reads_each_text_once(spark):
     assert all((r["probability"] > 0.5) == (r["label"] == 1) for r in model.probabilities(fitted, d).collect())
 
 
+def test_titles_of_many_parts_are_read_once(spark):
+    """Titles are made different before they are read, and the texts of a title reach all its parts."""
+    found = match_queries.search_texts(spark, SF)
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_second_reads_leave_raw_layers_behind(spark):
+    from candor.plans import extract_queries
+
+    plan = extract_queries.second_reads(spark, SF)._jdf.queryExecution().optimizedPlan()
+    above = [line for line in plan.toString().splitlines() if "Aggregate" in line]
+    assert above and not any("raw" in line for line in above)
+
+
+def test_entries_of_a_comparison_are_worked_out_once(spark):
+    from candor.plans import comparison_queries
+
+    assert any("/entries/" in f for f in comparison_queries.compared(spark, SF).inputFiles())
+
+
 def test_layers_are_asked_only_below_three(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "k int, text string, ordinal int")
     first = rows((1, "a b", 0), (1, "c", 1), (1, "d", 2), (2, "x", 0), (2, "X", 1), (3, " ", 0))
