@@ -186,6 +186,27 @@ def test_sixty_equal_texts_and_a_hot_gram(spark):
     assert len(want) == 60
 
 
+def test_pairs_of_texts_whatever_the_size_of_a_group(spark):
+    """Grams of more than 50 texts count, and each pair of copies, of near copies and of both comes once, in lists of any size."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    texts = [base] * 53 + [base + " more"] * 4 + [base + " else", "quite another text of six words", None, "a b c"]
+    d = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "id int, text string")
+    grams = {100 - i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in enumerate(texts) if t and len(t.split()) >= 4}
+    want = {(a, b): (len(grams[a] & grams[b]), len(grams[a] & grams[b]) / len(grams[a] | grams[b])) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
+    for cell in (500, 7):
+        got = neardup.similar_pairs(d, "id", "text", cell=cell).collect()
+        assert len(got) == len(want) > 1500 and {(r["a"], r["b"]): (r["overlap"], r["jaccard"]) for r in got} == want
+
+
+def test_no_gram_is_too_common_for_the_near_duplicate_queries(spark, tmp_path):
+    from candor.plans import review_queries
+
+    base = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(i, base) for i in range(60)] + [(60, base + " more"), (61, "quite another text")], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in review_queries.neardup_flagged(spark, str(tmp_path)).collect()} == set(range(61))
+    assert review_queries.neardup_trigram_pairs(spark, str(tmp_path)).count() == 61 * 60 // 2
+
+
 def test_whole_gram_sets_are_neither_written_nor_kept_but_for_pairs_that_met(spark, monkeypatch):
     """Only keys are written of all texts; sets with their grams only of the two that share rare grams."""
     texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(20)] + ["w0x0 " + " ".join(f"w0x{k}" for k in range(1, 11)) + " last"]
