@@ -94,3 +94,19 @@ def test_store_is_the_longest_listed_domain(spark):
 
 def test_slugs(spark):
     assert one(spark, urls.slug_words("v"), v="https://s.example/in/steel-kettle-1-5-l/p/77") == "steel kettle 1.5 l"
+
+
+def test_ratio_is_that_of_the_sequence_matcher(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    from candor.functions import similarity
+
+    rng = random.Random(3)
+    text = lambda n, letters="ab c": "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    pairs = [(text(60), text(60)) for _ in range(2000)] + [(text(300), text(300)) for _ in range(40)] + [("", ""), ("", "a"), ("a", ""), ("naïve ß", "naive ss"), ("x" * 199, "x" * 201), ("x" * 201, "x" * 199)]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [similarity.ratio(a, b) for a, b in pairs] == want
+    # Short titles take no walk over places.
+    monkeypatch.setattr(similarity, "SequenceMatcher", None)
+    assert [similarity.ratio(a, b) for a, b in pairs[:2000]] == want[:2000]
