@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from candor.operators import grouped_folds
 
 KIND = "a long, b long, label int, x double, fold int"
@@ -50,3 +52,34 @@ def test_a_fold_whose_others_lack_a_class_is_left_out(spark):
     assert grouped_folds.fits(d, "fold", "x", 2)[0] is None
     assert sorted(r["b"] for r in grouped_folds.out_of_fold(d, "fold", "x", 2).collect()) == [3, 4]
     assert grouped_folds.out_of_fold(d.limit(0), "fold", "x", 2).collect() == []
+
+
+def test_hard_negatives_are_the_first_of_a_window(spark):
+    """Also with ties, scores that are missing, and fewer negatives than asked for."""
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(4)
+    rows = [(g, o, rng.choice([0, 0, 1, None]), rng.choice([None, 0.25, 0.5, rng.random()])) for g in (1, 2, None) for o in range(40)] + [(3, 1, 0, None), (3, 2, 0, None), (4, 1, 1, 0.5)]
+    d = spark.createDataFrame(rows, "g int, o int, label int, s double")
+    for most in (1, 3, 25):
+        place = F.row_number().over(Window.partitionBy("g", "label").orderBy(F.desc("s"), "o"))
+        want = {(r["g"], r["o"]) for r in d.withColumn("r", place).where((F.col("label") == 0) & (F.col("r") <= most)).collect()}
+        got = grouped_folds.with_hard_negatives(d, "g", "o", "s", most)
+        assert {(r["g"], r["o"]) for r in got.where("hard").collect()} == want and got.count() == len(rows)
+
+
+def test_cosines_of_blocks_are_those_of_pairs(spark):
+    """Rows without a vector, with nulls, of another length or without a direction have none; each pair comes once, none with itself."""
+    from candor.functions import similarity
+    from candor.operators import visual
+
+    rows = [(i, [float(i % 5 - 2), 0.1 * i, 1.0], i % 3) for i in range(30)] + [(30, None, 1), (31, [1.0, None, 2.0], 1), (32, [1.0, 2.0], 1), (33, [0.0, 0.0, 0.0], None), (34, [], 2), (35, [float("nan"), 1.0, 1.0], 2)]
+    d = spark.createDataFrame(rows, "id int, v array<float>, l int")
+    a, b = (d.select(*[F.col(k).alias(f"{x}_{n}") for k, n in (("id", "id"), ("v", "vec"), ("l", "label"))]) for x in "ab")
+    key = lambda r: (r["a_id"], r["b_id"], r["label"], str(r["cosine"]))
+    want = sorted(map(key, a.join(b, F.col("a_id") != F.col("b_id")).select("a_id", "b_id", (F.col("a_label") == F.col("b_label")).cast("int").alias("label"), similarity.cosine("a_vec", "b_vec").alias("cosine")).collect()), key=str)
+    for block in (400, 7):
+        got = visual.cosine_pairs(a.where("a_id % 2 = 1"), b, block).collect()
+        assert sorted(map(key, got), key=str) == [w for w in want if w[0] % 2 == 1]
